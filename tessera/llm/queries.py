@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import bpe, simhash, substring_dedup, token_files
 
 QUERIES = {}
 SQL = {}
-for _module in (substring_dedup,):
+for _module in (bpe, token_files, substring_dedup, simhash):
     QUERIES |= {k: f for k, f in vars(_module).items() if k.startswith("op") and k[2:3].isdigit()}
     SQL |= getattr(_module, "SQL", {})

@@ -6,8 +6,8 @@ window around the seam anew. A token sequence is the encoding of its bytes exact
 alone, stay as they are; so the window grows until both its outer seams hold, and then nothing outside it can change.
 Decoding is the same reduction over the tokens' bytes.
 
-Parts that recur are encoded once: a worker keeps a bounded memory from part to ids, which is emptied when full and
-never changes a result.
+Parts that recur are encoded once: a worker keeps a bounded memory from part to ids, which never
+changes a result.
 
 Defined results: a null or empty text has no ids; strings of special tokens in a text are ordinary text; a match of any
 length is encoded whole; repeated rows give repeated rows; other columns are ignored.
@@ -28,12 +28,12 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import Memory, arrow_map
 
-#: Bytes that are encoded by merging directly, and parts that a worker remembers.
-LEAF, MEMORY = 48, 400_000
+#: Bytes of a match that are encoded without halving.
+LEAF = 48
 #: A text cut before every space that a non-space follows: no match of the pattern spans such a place.
-_SAFE, _GAP = re.compile(r"(?= \S)"), re.compile(r" (?=\s)")
+_SAFE, _GAP = re.compile(r"(?= \S)"), re.compile(r"\s\s")
 
 
 class Codec:
@@ -45,8 +45,7 @@ class Codec:
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.small = tiktoken.Encoding("parts", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.parts, self.after = Memory(self.part), Memory(self.after_space)
         self.held = lru_cache(1 << 16)(self._held)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -100,19 +99,13 @@ class Codec:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if text[-1] == " " or _GAP.search(text):
-            head, units, known, lead = b"", _SAFE.split(text), self.known, ""
-        else:  # every space is a safe cut, and a part needs no copy with its space
-            first, *units = text.split(" ")
-            head, known, lead = self.part(first), self.spaced, " "
-        if new := [x for x in units if x not in known]:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = units
-            for x in new:
-                if x not in known:
-                    known[x] = self.part(lead + x)
-        return head + b"".join(map(known.__getitem__, units))
+        if text[0].isspace() or text[-1].isspace() or _GAP.search(text):
+            return b"".join(self.parts.all(_SAFE.split(text)))
+        first, *rest = text.replace("\n", " \n").split(" ")  # with no two spaces of any kind together, each alone is a safe cut
+        return self.part(first) + b"".join(self.after.all(rest))
+
+    def after_space(self, text: str) -> bytes:
+        return self.part(text if text[0] == "\n" else " " + text)
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids given as by encode."""

@@ -83,6 +83,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Memory:
+    """What a worker has worked out for recurring keys, bounded: when the newer half is full, the older is dropped."""
+
+    def __init__(self, work: Callable[[str], bytes], size: int = 800_000) -> None:
+        self.work, self.half, self.new, self.old = work, size // 2, {}, {}
+
+    def all(self, keys: list[str]) -> list[bytes]:
+        """work(key) for every key."""
+        got = list(map(self.new.get, keys))
+        if None in got:
+            for i in [i for i, x in enumerate(got) if x is None]:
+                key = keys[i]
+                if (x := self.new.get(key)) is None:
+                    if (x := self.old.get(key)) is None:
+                        x = self.work(key)
+                    if len(self.new) >= self.half:
+                        self.old, self.new = self.new, {}
+                    self.new[key] = x
+                got[i] = x
+        return got
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, as far as needed."""
 

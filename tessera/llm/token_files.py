@@ -35,15 +35,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, cut, shared_dir
+from .common import NULL_ID, Memory, cut, shared_dir
 
-END, FIRST, SHARD_IDS, MEMORY = 2, 50257, 3 << 20, 400_000
-ROUNDS, PER_ROUND, LEAST = 4, 4096, 8
-_SAFE, _GAP = re.compile(r"(?= \S)"), re.compile(r" (?=\s)")
+END, FIRST, SHARD_IDS = 2, 50257, 3 << 20
+ROUNDS, PER_ROUND, LEAST = 3, 5000, 8
+_SAFE, _GAP = re.compile(r"(?= \S)"), re.compile(r"\s\s")
+
+
+#: Bytes as the library's byte-level vocabulary writes them: printable ones stay, the others follow from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_WRITTEN = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
 
 
 class Encoder:
-    """The tokenizers library behind a bounded memory of parts; parts are cut where no match of its split can span."""
+    """The tokenizers library behind a bounded memory of parts, which are cut where no match of its split can span.
+
+    A part that is one match of the split, or one and a mark, goes to the library's model directly; others go through
+    the whole library.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,26 +60,34 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as native unsigned 32-bit integers."""
-        cuts = [self._cut(t) if t else [] for t in texts]
-        new = list({p for ps in cuts for p in ps if p not in self.known})
-        if new:
-            if len(self.known) + len(new) > MEMORY:
-                self.known.clear()
-                new = list({p for ps in cuts for p in ps})
-            for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-                self.known[p] = array("I", e.ids).tobytes()
-        return [b"".join(map(self.known.__getitem__, ps)) for ps in cuts]
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        if text[-1] == " " or _GAP.search(text):
-            return [p for p in _SAFE.split(text) if p]
-        first, *rest = text.split(" ")
-        return [first] * bool(first) + [" " + p for p in rest]
+        self.model = self.library.model.tokenize
+        self.parts, self.after = Memory(self.part), Memory(self.after_space)
+
+    def part(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def after_space(self, text: str) -> bytes:
+        """The ids of the text with a space before it, or as it is if it begins a line."""
+        lead, text = ("\n", text[1:]) if text[0] == "\n" else (" ", text)
+        word, mark = (text[:-1], text[-1]) if text[-1:] in ".,;:!?" else (text, "")
+        if not word.isalpha():
+            return self.part(lead + text)
+        word = word if word.isascii() else word.encode().decode("latin1").translate(_WRITTEN)
+        ids = array("I")
+        for match in (_WRITTEN[32] + word,) if lead == " " else (_WRITTEN[10], word):
+            ids.extend([t.id for t in self.model(match)])
+        if mark:
+            ids.extend([t.id for t in self.model(mark)])
+        return ids.tobytes()
+
+    def text(self, text: str | None) -> bytes:
+        """The ids of a text as native unsigned 32-bit integers."""
+        if not text:
+            return b""
+        if text[0].isspace() or text[-1].isspace() or _GAP.search(text):
+            return b"".join(self.parts.all([p for p in _SAFE.split(text) if p]))
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self.part(first) + b"".join(self.after.all(rest))
 
 
 @dataclass
@@ -134,8 +151,8 @@ def repair(ids: np.ndarray, starts: np.ndarray, first: int = FIRST, rounds: int
         take[1:] &= rank[1:] < rank[:-1]
         take[:-1] &= rank[:-1] <= rank[1:]
         at = np.flatnonzero(take)
-        used, name = np.unique(rank[at], return_inverse=True)
-        new = first + len(rules)
+        used = np.bincount(rank[at], minlength=len(chosen)) > 0
+        new, name = first + len(rules), (np.cumsum(used) - 1)[rank[at]]
         for k in chosen[used].tolist():
             a, b = k >> 20, k & (1 << 20) - 1
             rules.append((a, b))
@@ -232,8 +249,8 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end: int = END) -> D
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                for key, x in zip(rows.column("key").to_pylist(), encoder.texts(rows.column("text").to_pylist())):
-                    ids.append(x)
+                for key, text in zip(rows.column("key").to_pylist(), rows.column("text").to_pylist()):
+                    ids.append(x := encoder.text(text))
                     keys.append(key)
                     total += len(x) // 4
                     if total >= SHARD_IDS:

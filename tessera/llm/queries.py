@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding, simhash, substring_dedup, token_files
+from . import bpe, chat, quality, sharding, simhash, substring_dedup, token_files
 
 QUERIES = {}
 SQL = {}
-for _module in (bpe, sharding, token_files, substring_dedup, simhash):
+for _module in (bpe, sharding, chat, quality, token_files, substring_dedup, simhash):
     QUERIES |= {k: f for k, f in vars(_module).items() if k.startswith("op") and k[2:3].isdigit()}
     SQL |= getattr(_module, "SQL", {})

@@ -133,6 +133,18 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids binary, decoded binary")
 
 
+def encode_columns(docs: DataFrame, path: str, names: list[str]) -> DataFrame:
+    """The named columns of docs, and of every text n_tokens and ids (binary: little-endian unsigned 32-bit integers)."""
+    rows = docs.select(F.struct(*names).alias("kept"), F.col("text").cast("string").alias("text"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        c = codec(path)
+        ids = [c.encode(t) for t in batch.column("text").to_pylist()]
+        return pa.record_batch([batch.column("kept"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["kept", "n_tokens", "ids"])
+
+    return arrow_map(rows, run, f"kept {rows.schema['kept'].dataType.simpleString()}, n_tokens long, ids binary").select("kept.*", "n_tokens", "ids")
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
 

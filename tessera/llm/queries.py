@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality, sharding, simhash, substring_dedup, token_files
+from . import bpe, chat, decontaminate, language_id, line_dedup, quality, sharding, simhash, substring_dedup, token_files
 
 QUERIES = {}
 SQL = {}
-for _module in (bpe, sharding, chat, quality, token_files, substring_dedup, simhash):
+for _module in (bpe, sharding, decontaminate, chat, quality, line_dedup, token_files, language_id, substring_dedup, simhash):
     QUERIES |= {k: f for k, f in vars(_module).items() if k.startswith("op") and k[2:3].isdigit()}
     SQL |= getattr(_module, "SQL", {})
+
+# the pipeline lies at the top of the repository and goes with this folder
+import corpus_pipeline  # noqa: E402
+
+QUERIES["pipeline"] = corpus_pipeline.run

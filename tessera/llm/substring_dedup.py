@@ -1,14 +1,15 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 Every document is parsed against an index of the whole corpus. The index holds a reference block per shuffle partition,
-keyed by anchors: in each window of `window` words the anchor is the `seed`-word run of least hash, so every copy of a
-window finds the same anchor. A factor is a run of windows that the index has elsewhere:
+keyed by anchors: each window of `window` words has one of its `seed`-word runs as anchor, chosen by the window's words
+alone (a mod-minimiser), so every copy of a window finds the same anchor. A factor is a run of windows that the index has elsewhere:
 
 * inside a factor, an anchor's surroundings are alike at all its places; then all windows on that anchor repeat;
 * at a factor's boundary the surroundings differ between places, and each window there is checked by its own hash.
 
-So every window of the corpus is decided, by 128 bits of hash, and nothing else is ever sent. All counts are partial
-aggregates; no group of places is gathered, and a hot anchor is split by AQE's skew join.
+So every window of the corpus is decided, by its anchor and 96 bits of hash. Texts that are equal as a whole repeat in every
+window; one row of each text is parsed. All counts are partial aggregates; no group of places is gathered, and a hot anchor
+is split by AQE's skew join.
 
 Defined results: a null or empty text has no words and keeps the empty string; documents of fewer than `window` words
 keep everything; repeated rows count as other places of each other, so both lose their windows; other columns are ignored.
@@ -23,9 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, arrow_map, keyed, lists, mix, signed, word_hashes
+from .common import NULL_ID, Rolling, arrow_map, mix, signed, word_hashes
 
-WINDOW, SEED = 35, 20
+#: Words of a window, of an anchor, and at least of the runs whose hashes choose the anchor.
+WINDOW, SEED, LEAST = 35, 20, 4
+
+
+#: A place in a text, and the text's short hash, are sent as one long.
+V, AT = "CAST(shiftright(place, 32) AS INT) AS v", "CAST(place & 4294967295 AS INT) AS at"
 
 
 class Parsed:
@@ -41,7 +47,10 @@ class Parsed:
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
         self.roll = Rolling(self.values)
         self.grams = self.roll.grams(seed)
-        least, span = self.grams, window - seed + 1
+        # mod-minimiser: the place of the least short run in the window, modulo the number of places a seed can have
+        choices = window - seed + 1
+        short = LEAST + (seed - LEAST) % choices
+        least, span = self.roll.grams(short), window - short + 1
         at, width = np.arange(len(least)), 1
         while width < span:  # least hash, then leftmost, of spans that double
             step = min(width, span - width)
@@ -50,7 +59,7 @@ class Parsed:
             width += step
         begin = np.arange(max(0, self.n - window + 1))
         self.begin = begin[begin + window <= self.stops[self.doc[: len(begin)]]] if len(begin) else begin
-        self.anchor = at[self.begin]
+        self.anchor = self.begin + (at[self.begin] - self.begin) % choices
 
 
 def _context(p: Parsed, at: np.ndarray, window: int, seed: int) -> np.ndarray:
@@ -61,20 +70,19 @@ def _context(p: Parsed, at: np.ndarray, window: int, seed: int) -> np.ndarray:
         return mix(p.roll.range(a, b) + ((at - a) * 4096 + (b - at)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _hex(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
-
-
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """docs with their words parsed: doc_id, n_words, n_removed, kept (binary: kept words joined by spaces), kept_sha256."""
-    base = keyed(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid"), F.hash("text").alias("v"), F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("size"), F.col("text").cast("binary").alias("text"))
+    classes = rows.groupBy("th", "size").agg(F.count(F.lit(1)).alias("copies"), F.min("kid").alias("kid"), F.first("v").alias("v"))
+    # one row of each text; its key is the least doc_id's, so that a hot text is no hot key
+    base = rows.select("kid", "v", "th", "text").join(classes.select("kid", "v"), ["kid", "v"], "left_semi")
 
     def places(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = Parsed(batch.column("text").to_pylist(), window, seed)
         at = np.unique(p.anchor)
         doc = p.doc[at]
         col = lambda c: batch.column(c).to_numpy()[doc]
-        return pa.record_batch([pa.array(signed(p.grams[at])), pa.array(col("kid")), pa.array(col("th")), pa.array((at - p.starts[doc]).astype(np.int32))], ["anchor", "kid", "th", "at"])
+        return pa.record_batch([pa.array(signed(p.grams[at])), pa.array(col("kid")), pa.array(col("v").astype(np.int64) << 32 | (at - p.starts[doc]))], ["anchor", "kid", "place"])
 
     def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = Parsed(batch.column("text").to_pylist(), window, seed)
@@ -87,11 +95,11 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         .filter("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("inner"))
     )
     found = (
-        arrow_map(base.select("kid", "th", "text"), places, "anchor long, kid long, th long, at int")
-        .join(index, "anchor")
-        .groupBy("kid", "th").agg(F.collect_set(F.when(F.col("inner"), F.col("at"))).alias("inner"), F.collect_set(F.when(~F.col("inner"), F.col("at"))).alias("edge"))
+        arrow_map(base.select("kid", "v", "text"), places, "anchor long, kid long, place long")
+        .join(index, "anchor").selectExpr("kid", V, AT, "inner")
+        .groupBy("kid", "v").agg(F.collect_set(F.when(F.col("inner"), F.col("at"))).alias("inner"), F.collect_set(F.when(~F.col("inner"), F.col("at"))).alias("edge"))
     )
-    parsed = base.join(found, ["kid", "th"], "left")
+    parsed = base.join(found, ["kid", "v"], "left")
 
     def edges(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = Parsed(batch.column("text").to_pylist(), window, seed)
@@ -101,11 +109,11 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         doc = p.doc[begin]
         col = lambda c: batch.column(c).to_numpy()[doc]
         other = Rolling(mix(p.values ^ np.uint64(0xA5A5F00DBEEF1234)), 0xC2B2AE3D27D4EB4F)
-        return pa.record_batch([pa.array(col("kid")), pa.array(col("th")), pa.array((begin - p.starts[doc]).astype(np.int32)), pa.array(signed(p.roll.range(begin, begin + window))), pa.array(signed(other.range(begin, begin + window)))], ["kid", "th", "at", "h1", "h2"])
+        return pa.record_batch([pa.array(col("kid")), pa.array(col("v").astype(np.int64) << 32 | (begin - p.starts[doc])), pa.array(signed(p.roll.range(begin, begin + window))), pa.array((signed(other.range(begin, begin + window)) >> 32).astype(np.int32))], ["kid", "place", "h1", "h2"])
 
-    checked = arrow_map(parsed.filter(F.size("edge") > 0).select("kid", "th", "text", "edge"), edges, "kid long, th long, at int, h1 long, h2 long")
+    checked = arrow_map(parsed.filter(F.size("edge") > 0).select("kid", "v", "text", "edge"), edges, "kid long, place long, h1 long, h2 int")
     repeats = checked.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    hits = checked.join(repeats, ["h1", "h2"], "left_semi").groupBy("kid", "th").agg(F.collect_set("at").alias("hits"))
+    hits = checked.join(repeats, ["h1", "h2"], "left_semi").selectExpr("kid", V, AT).groupBy("kid", "v").agg(F.collect_set("at").alias("hits"))
 
     def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = Parsed(batch.column("text").to_pylist(), window, seed)
@@ -121,9 +129,16 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         kept = []
         for words, k, a, b in zip(p.words, removed.tolist(), p.starts.tolist(), p.stops.tolist()):
             kept.append(b" ".join([w for w, x in zip(words, gone[a:b].tolist()) if not x] if k else words))
-        return pa.record_batch([batch.column("doc_id"), pa.array(p.counts), pa.array(removed), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
-
-    return arrow_map(parsed.join(hits, ["kid", "th"], "left").select("doc_id", "text", "inner", "hits"), cut_out, "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string")
+        return pa.record_batch([batch.column("th"), pa.array([-1 if w is None else len(w) for w in batch.column("text").to_pylist()], pa.int32()), pa.array(p.counts), pa.array(removed), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])], ["th", "size", "n_words", "n_removed", "kept", "kept_sha256"])
+
+    # rows that agree in doc_id and text come once per row here; one of them is enough
+    each = arrow_map(parsed.join(hits, ["kid", "v"], "left").select("th", "text", "inner", "hits"), cut_out, "th long, size int, n_words long, n_removed long, kept binary, kept_sha256 string")
+    nothing = hashlib.sha256(b"").hexdigest()
+    whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
+    return (
+        rows.select("doc_id", "th", "size").join(classes.select("th", "size", "copies"), ["th", "size"]).join(each.dropDuplicates(["th", "size"]), ["th", "size"])
+        .select("doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"), F.when(whole, F.lit(nothing)).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
+    )
 
 
 def _flat(batch: pa.RecordBatch, name: str, p: Parsed) -> np.ndarray:

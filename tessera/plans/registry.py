@@ -1,3 +1,8 @@
 """Every query of the library and the SQL it is held against."""
-QUERIES: dict = {}
-SQL: dict = {}
+
+from __future__ import annotations
+
+from . import suite
+
+QUERIES = {**suite.QUERIES}
+SQL = {**suite.SQL}

@@ -55,8 +55,10 @@ def intersection(child: DataFrame, name: str, relations: Sequence[tuple[DataFram
 
     Each relation is (rows, bound, column); bound columns have the same names in child and rows.
     """
-    (rows, bound, column), *rest = relations
-    out = child.join(rows.select(*bound, F.col(column).alias(name)).distinct(), list(bound), "inner") if bound else child.crossJoin(F.broadcast(rows.select(F.col(column).alias(name)).distinct()))
+    (rows, bound, column), *rest = sorted(relations, key=lambda r: not r[1])  # a bound one extends, so no row meets all values
+    if not bound:
+        raise ValueError("no relation is bound to the child's columns; variable() gives the values that relations share")
+    out = child.join(rows.select(*bound, F.col(column).alias(name)).distinct(), list(bound), "inner")
     for rows, bound, column in rest:
         out = out.join(rows.select(*bound, F.col(column).alias(name)).distinct(), [*bound, name], "left_semi")
     return out

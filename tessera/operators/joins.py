@@ -54,8 +54,10 @@ def anti(left: DataFrame, right: DataFrame, equal: Pairs, other: Column | None =
 
 def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """SQL's NOT IN: with a null on the left no right row remains; a null on the right goes unless the left is empty."""
-    a, b = F.col(left_key), F.col(right_key)
-    return right.join(left.select(left_key), (a == b) | (a == b).isNull(), "left_anti")
+    key = F.col(left_key)
+    state = left.agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(key.isNull(), 1)).alias("_nulls"))
+    out = with_scalar(right.join(left.filter(key.isNotNull()), key == F.col(right_key), "left_anti"), state)
+    return out.filter((F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(right_key).isNotNull())).drop("_n", "_nulls")
 
 
 def outer(left: DataFrame, right: DataFrame, equal: Pairs, other: Column | None = None) -> DataFrame:

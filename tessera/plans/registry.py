@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import suite
+from . import inventory, suite
 
-QUERIES = {**suite.QUERIES}
-SQL = {**suite.SQL}
+QUERIES = {**suite.QUERIES, **inventory.QUERIES}
+SQL = {**suite.SQL, **inventory.SQL}

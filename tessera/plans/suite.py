@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..sources.catalog import scan
 
 c = F.col
-_REVENUE = c("l_extendedprice") * (1 - c("l_discount"))
+
+
+def _revenue():
+    return c("l_extendedprice") * (1 - c("l_discount"))
 
 
 def _ts(day: str):
@@ -25,10 +28,10 @@ def _total(x, digits: int = 4):
 
 def q1(spark: SparkSession, d: str) -> DataFrame:
     (line,) = _tables(spark, d, "lineitem")
-    charge = _REVENUE * (1 + c("l_tax"))
+    charge = _revenue() * (1 + c("l_tax"))
     return (
         line.filter(c("l_shipdate") <= _ts("1998-09-21")).groupBy("l_returnflag", "l_linestatus")
-        .agg(_total("l_quantity").alias("sum_qty"), _total("l_extendedprice").alias("sum_base_price"), _total(_REVENUE).alias("sum_disc_price"), _total(charge, 3).alias("sum_charge"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.round(F.avg("l_discount"), 4).alias("avg_disc"), F.count(F.lit(1)).alias("count_order"))
+        .agg(_total("l_quantity").alias("sum_qty"), _total("l_extendedprice").alias("sum_base_price"), _total(_revenue()).alias("sum_disc_price"), _total(charge, 3).alias("sum_charge"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.round(F.avg("l_discount"), 4).alias("avg_disc"), F.count(F.lit(1)).alias("count_order"))
     )
 
 
@@ -44,7 +47,7 @@ def q3(spark: SparkSession, d: str) -> DataFrame:
     line, orders, customer = _tables(spark, d, "lineitem orders customer")
     buyers = customer.filter("c_mktsegment = 'HOUSEHOLD'").select("c_custkey")
     before = orders.filter(c("o_orderdate") < _ts("1998-05-31")).join(buyers, c("o_custkey") == c("c_custkey"), "left_semi")
-    return line.filter(c("l_shipdate") > _ts("1998-05-31")).join(before, c("l_orderkey") == c("o_orderkey")).groupBy("l_orderkey", "o_orderdate").agg(_total(_REVENUE).alias("revenue"))
+    return line.filter(c("l_shipdate") > _ts("1998-05-31")).join(before, c("l_orderkey") == c("o_orderkey")).groupBy("l_orderkey", "o_orderdate").agg(_total(_revenue()).alias("revenue"))
 
 
 def q4(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +73,7 @@ def q5(spark: SparkSession, d: str) -> DataFrame:
     sellers = supplier.join(there, c("s_nationkey") == c("n_nationkey"))
     bought = _year(spark, d).join(customer, c("o_custkey") == c("c_custkey"))
     sold = line.join(sellers, c("l_suppkey") == c("s_suppkey"))
-    return sold.join(bought, (c("l_orderkey") == c("o_orderkey")) & (c("c_nationkey") == c("s_nationkey"))).groupBy("n_name").agg(_total(_REVENUE).alias("revenue"))
+    return sold.join(bought, (c("l_orderkey") == c("o_orderkey")) & (c("c_nationkey") == c("s_nationkey"))).groupBy("n_name").agg(_total(_revenue()).alias("revenue"))
 
 
 def q6(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +89,7 @@ def q7(spark: SparkSession, d: str) -> DataFrame:
     buyers = customer.join(two.select("n_nationkey", c("n_name").alias("cust_nation")), c("c_nationkey") == c("n_nationkey")).select("c_custkey", "cust_nation")
     shipped = line.filter(c("l_shipdate").between(_ts("1996-01-01"), _ts("1997-12-31"))).join(sellers, c("l_suppkey") == c("s_suppkey"))
     traded = shipped.join(orders.join(buyers, c("o_custkey") == c("c_custkey")), c("l_orderkey") == c("o_orderkey")).filter("supp_nation != cust_nation")
-    return traded.groupBy("supp_nation", "cust_nation", F.year("l_shipdate").cast("long").alias("l_year")).agg(_total(_REVENUE).alias("revenue"))
+    return traded.groupBy("supp_nation", "cust_nation", F.year("l_shipdate").cast("long").alias("l_year")).agg(_total(_revenue()).alias("revenue"))
 
 
 def q8(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +98,7 @@ def q8(spark: SparkSession, d: str) -> DataFrame:
     bought = orders.filter(c("o_orderdate").between(_ts("1996-01-01"), _ts("1997-12-31"))).join(there, c("o_custkey") == c("c_custkey")).select("o_orderkey", F.year("o_orderdate").cast("long").alias("o_year"))
     sellers = supplier.join(nation, c("s_nationkey") == c("n_nationkey")).select("s_suppkey", "n_name")
     sold = line.join(part.filter("p_type = 'PROMO'"), c("l_partkey") == c("p_partkey")).join(sellers, c("l_suppkey") == c("s_suppkey")).join(bought, c("l_orderkey") == c("o_orderkey"))
-    share = F.sum(F.when(c("n_name") == "NATION_3", _REVENUE).otherwise(0.0)) / F.nullif(F.sum(_REVENUE), F.lit(0.0))
+    share = F.sum(F.when(c("n_name") == "NATION_3", _revenue()).otherwise(0.0)) / F.nullif(F.sum(_revenue()), F.lit(0.0))
     return sold.groupBy("o_year").agg(F.round(share, 4).alias("mkt_share"))
 
 
@@ -103,13 +106,13 @@ def q9(spark: SparkSession, d: str) -> DataFrame:
     line, part, orders, supplier, nation = _tables(spark, d, "lineitem part orders supplier nation")
     sellers = supplier.join(nation, c("s_nationkey") == c("n_nationkey")).select("s_suppkey", c("n_name").alias("nation"))
     sold = line.join(part.filter("p_name LIKE '%widget%'"), c("l_partkey") == c("p_partkey")).join(sellers, c("l_suppkey") == c("s_suppkey")).join(orders, c("l_orderkey") == c("o_orderkey"))
-    return sold.groupBy("nation", F.year("o_orderdate").cast("long").alias("o_year")).agg(_total(_REVENUE - c("p_retailprice") * c("l_quantity")).alias("sum_profit"))
+    return sold.groupBy("nation", F.year("o_orderdate").cast("long").alias("o_year")).agg(_total(_revenue() - c("p_retailprice") * c("l_quantity")).alias("sum_profit"))
 
 
 def q10(spark: SparkSession, d: str) -> DataFrame:
     line, orders, customer, nation = _tables(spark, d, "lineitem orders customer nation")
     month = orders.filter((c("o_orderdate") >= _ts("1996-05-01")) & (c("o_orderdate") < _ts("1996-06-01")))
-    sold = line.filter("l_returnflag = 'R'").join(month, c("l_orderkey") == c("o_orderkey")).groupBy("o_custkey").agg(_total(_REVENUE).alias("revenue"))
+    sold = line.filter("l_returnflag = 'R'").join(month, c("l_orderkey") == c("o_orderkey")).groupBy("o_custkey").agg(_total(_revenue()).alias("revenue"))
     return sold.join(customer, c("o_custkey") == c("c_custkey")).join(nation, c("c_nationkey") == c("n_nationkey")).select("c_custkey", "c_name", "revenue", "c_acctbal", "n_name")
 
 
@@ -147,13 +150,13 @@ def q13_inner(spark: SparkSession, d: str) -> DataFrame:
 def q14(spark: SparkSession, d: str) -> DataFrame:
     line, part = _tables(spark, d, "lineitem part")
     month = line.filter((c("l_shipdate") >= _ts("1996-08-01")) & (c("l_shipdate") < _ts("1996-09-01"))).join(part, c("l_partkey") == c("p_partkey"))
-    return month.agg(F.round(100.0 * F.sum(F.when(c("p_type").like("PROMO%"), _REVENUE).otherwise(0.0)) / F.nullif(F.sum(_REVENUE), F.lit(0.0)), 4).alias("promo_revenue"))
+    return month.agg(F.round(100.0 * F.sum(F.when(c("p_type").like("PROMO%"), _revenue()).otherwise(0.0)) / F.nullif(F.sum(_revenue()), F.lit(0.0)), 4).alias("promo_revenue"))
 
 
 def q15(spark: SparkSession, d: str) -> DataFrame:
     line, supplier = _tables(spark, d, "lineitem supplier")
     quarter = line.filter((c("l_shipdate") >= _ts("1996-06-01")) & (c("l_shipdate") < _ts("1996-09-01")))
-    revenue = quarter.groupBy("l_suppkey").agg(_total(_REVENUE).alias("total_revenue"))
+    revenue = quarter.groupBy("l_suppkey").agg(_total(_revenue()).alias("total_revenue"))
     best = revenue.agg(F.max("total_revenue").alias("best"))
     return revenue.join(F.broadcast(best), c("total_revenue") == c("best")).join(supplier, c("l_suppkey") == c("s_suppkey")).select("s_suppkey", "s_name", "total_revenue")
 
@@ -182,7 +185,7 @@ def q19(spark: SparkSession, d: str) -> DataFrame:
     line, part = _tables(spark, d, "lineitem part")
     branch = lambda brand, few, many, size: (c("p_brand") == brand) & c("l_quantity").between(few, many) & c("p_size").between(1, size)
     either = branch("Brand#1", 1, 11, 15) | branch("Brand#2", 10, 20, 30) | branch("Brand#3", 20, 30, 45)
-    return line.filter(c("l_returnflag").isin("A", "R")).join(part, (c("l_partkey") == c("p_partkey")) & either).agg(_total(_REVENUE).alias("revenue"))
+    return line.filter(c("l_returnflag").isin("A", "R")).join(part, (c("l_partkey") == c("p_partkey")) & either).agg(_total(_revenue()).alias("revenue"))
 
 
 def q20(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import os
 import sys
 
@@ -11,6 +12,8 @@ sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 import duckdb  # noqa: E402
+import numpy as np  # noqa: E402
+import pandas as pd  # noqa: E402
 import pytest  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
@@ -30,11 +33,23 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def rows(frame, digits: int = 9):
+def cell(value) -> str:
+    """A value as text, alike for both engines: numbers by value, points in time as such, missing values as null."""
+    if isinstance(value, (str, bytes)):
+        return str(value)
+    if pd.isna(value):
+        return "null"
+    if isinstance(value, (bool, np.bool_)):
+        return str(bool(value))
+    if isinstance(value, (int, float, np.number)):
+        return str(int(value)) if float(value).is_integer() and abs(value) < 1e15 else f"{float(value):.9g}"
+    return str(pd.Timestamp(value)) if isinstance(value, (datetime.date, pd.Timestamp)) else str(value)
+
+
+def rows(frame):
     """A pandas frame as a sorted list of tuples of texts, columns by name."""
     frame = frame[sorted(frame.columns)]
-    text = lambda v: "null" if v is None or v != v else f"{v:.{digits}g}" if isinstance(v, float) else str(int(v)) if isinstance(v, bool) is False and hasattr(v, "dtype") and v.dtype.kind in "iu" else str(v)
-    return sorted(tuple(text(v) for v in row) for row in frame.astype(object).itertuples(index=False))
+    return sorted(tuple(cell(v) for v in row) for row in frame.astype(object).itertuples(index=False))
 
 
 def sql(text: str, folder: str = DATA):

@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, arrow_map
+from .common import Memory, arrow_map, once
 
 #: Bytes of a match that are encoded without halving.
 LEAF = 48
@@ -112,14 +112,9 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """The worker's codec for a rank file."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return once(f"codec {path}", lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

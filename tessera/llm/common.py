@@ -83,26 +83,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Memory:
+_HELD: dict[str, object] = {}
+
+
+def once(key: str, make: Callable[[], object]) -> object:
+    """make(), once in a worker process for each key; of many keys the last few stay. What tasks close over is copied to
+    each task, so whatever is to outlive a task is kept here."""
+    if key not in _HELD:
+        while len(_HELD) >= 3:
+            _HELD.pop(next(iter(_HELD)))
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+class Memory(dict):
     """What a worker has worked out for recurring keys, bounded: when the newer half is full, the older is dropped."""
 
-    def __init__(self, work: Callable[[str], bytes], size: int = 800_000) -> None:
-        self.work, self.half, self.new, self.old = work, size // 2, {}, {}
+    def __init__(self, work: Callable[[str], bytes], size: int = 1_200_000) -> None:
+        super().__init__()
+        self.work, self.half, self.old = work, size // 2, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (found := self.old.get(key)) is None:
+            found = self.work(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
     def all(self, keys: list[str]) -> list[bytes]:
         """work(key) for every key."""
-        got = list(map(self.new.get, keys))
-        if None in got:
-            for i in [i for i, x in enumerate(got) if x is None]:
-                key = keys[i]
-                if (x := self.new.get(key)) is None:
-                    if (x := self.old.get(key)) is None:
-                        x = self.work(key)
-                    if len(self.new) >= self.half:
-                        self.old, self.new = self.new, {}
-                    self.new[key] = x
-                got[i] = x
-        return got
+        return list(map(self.__getitem__, keys))
+
+
+class Sums:
+    """Rows of numbers worked out for recurring keys, many keys at once; a bounded number of them is kept."""
+
+    def __init__(self, work: Callable[[list[bytes]], np.ndarray], width: int, size: int = 400_000) -> None:
+        self.work, self.size, self.place, self.table = work, size, {}, np.zeros((size, width), np.float32)
+
+    def of(self, keys: list[bytes]) -> np.ndarray:
+        """work(keys), whose rows depend on one key each."""
+        new = list({k for k in keys if k not in self.place})
+        if len(self.place) + len(new) > self.size:
+            self.place, new = {}, list(set(keys))
+        found = self.work(new)
+        if len(new) > self.size:  # more than the table holds
+            place = dict(zip(new, range(len(new))))
+            return found[np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))]
+        start = len(self.place)
+        self.table[start : start + len(new)] = found
+        self.place.update(zip(new, range(start, start + len(new))))
+        return self.table[np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))]
 
 
 class Powers:

@@ -18,6 +18,7 @@ predicted alike; texts of any length are read whole; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import Sums, arrow_map, once
 
 UNKNOWN = "und"
 PER_LANGUAGE, TRAIN_SPANS, SPAN, HIDDEN, EMBED, STEPS, BATCH = 300, 120_000, 24, 16, 12, 500, 512
@@ -193,14 +194,13 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, limit: int = TRAIN_
 def _labeller(net: Network, docs: DataFrame) -> Callable[[list[bytes | None]], tuple[list[str], np.ndarray]]:
     """The function by which workers predict: languages and scores of texts."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of weights
-    held: list[SpanSums] = []
+    name = f"language {uuid.uuid4().hex}"
 
     def label(texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
         n = shared.value
-        if not held:
-            held.append(SpanSums(n))
+        sums = once(name, lambda: Sums(n.sums, len(n.languages)))
         cuts = [spans(t) if t else [] for t in texts]
-        each = held[0].of([s for c in cuts for s in c])
+        each = sums.of([s for c in cuts for s in c])
         owner = np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
         total = np.stack([np.bincount(owner, each[:, k], len(texts)) for k in range(len(n.languages))], axis=1)
         mean = total / np.maximum(1, np.array([len(t) if t else 0 for t in texts]))[:, None]
@@ -243,28 +243,6 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     return arrow_map(rows, run, "doc_id long, lang_pred string, score double")
 
 
-class SpanSums:
-    """Sums of spans' log-probabilities; those of recurring spans are kept, a bounded number of them."""
-
-    def __init__(self, net: Network, size: int = 400_000) -> None:
-        self.net, self.size, self.place = net, size, {}
-        self.table = np.zeros((size, len(net.languages)), np.float32)
-
-    def of(self, pieces: list[bytes]) -> np.ndarray:
-        new = list({p for p in pieces if p not in self.place})
-        if len(self.place) + len(new) > self.size:
-            self.place = {}
-            new = list(set(pieces))
-        sums = self.net.sums(new)
-        if len(new) > self.size:  # a batch beyond the table is read without it
-            place = {p: i for i, p in enumerate(new)}
-            return sums[[place[p] for p in pieces]]
-        start = len(self.place)
-        self.table[start : start + len(new)] = sums
-        self.place.update(zip(new, range(start, start + len(new))))
-        return self.table[np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))]
-
-
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out")

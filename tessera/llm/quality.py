@@ -1,8 +1,8 @@
 """Quality rules: base rules, and a calibrated logistic regression over hashed word and character n-grams.
 
 The model is trained on a bounded sample of labelled rows (SAMPLE documents, those of least hash of doc_id). A document's
-features are the means over its words of a hashed word and of the word's hashed character 3- and 4-grams; so its logit is
-a mean of one number for each word, which workers keep for recurring words. A fifth of the sample is held out to
+features are the means over its words of a hashed word and of the word's hashed 3- and 4-grams (of the UTF-8 bytes of its
+characters, with marks at both ends); so its logit is a mean of one number for each word, which workers keep for recurring words. A fifth of the sample is held out to
 calibrate: a logistic curve from logit to probability (Platt). Documents are scored in Arrow batches against a fixed
 threshold of the probability.
 
@@ -14,16 +14,18 @@ out; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, Rolling, arrow_map, mix, word_hashes
+from .common import Rolling, Sums, arrow_map, lists, mix, once, word_hashes
 
-SAMPLE, DIMENSIONS, THRESHOLD = 4000, 1 << 18, 0.5
+SAMPLE, BITS, THRESHOLD = 4000, 18, 0.5
+DIMENSIONS = 1 << BITS
 MIN_WORDS, MAX_REPEATED = 10, 20
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 #: Which bytes start a code point of a word, and which are symbols.
@@ -31,11 +33,24 @@ _STARTS = ((np.arange(256) & 0xC0 != 0x80) & ~_SPACE).astype(np.int64)
 _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>")).astype(np.int64)
 
 
-def features(word: bytes) -> np.ndarray:
-    """Hashed features of a word: itself, then its character n-grams; each of the n-grams weighs one over their number."""
-    text = f"<{word.decode('utf-8', 'replace')}>"
-    grams = [text[i : i + n] for n in (3, 4) for i in range(len(text) - n + 1)]
-    return np.array([xxhash.xxh32_intdigest(b"w" + word) % DIMENSIONS, *(xxhash.xxh32_intdigest(g.encode(), 7) % DIMENSIONS for g in grams)], np.int32)
+def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, feature, weight) of hashed features: each word itself, and the runs of 3 and 4 bytes of `<word>`; a word's runs
+    weigh 1 together."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    raw = np.frombuffer(b"<" + b"><".join(words) + b">" + bytes(4), np.uint8).astype(np.uint32)
+    owner = np.repeat(np.arange(len(words)), size + 2)
+    stop = np.cumsum(size + 2)
+    whose, index = [np.arange(len(words))], [(word_hashes(words) >> np.uint64(64 - BITS)).astype(np.int64)]
+    with np.errstate(over="ignore"):
+        value = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
+        for n in (3, 4):
+            value = value if n == 3 else value[:-1] | raw[3:] << np.uint32(24)
+            at = np.flatnonzero(np.arange(len(owner)) + n <= stop[owner])
+            whose.append(owner[at])
+            index.append(((value[at] + np.uint32(n)) * np.uint32(2654435761) >> np.uint32(32 - BITS)).astype(np.int64))
+    whose = np.concatenate(whose)
+    share = np.where(np.arange(len(whose)) < len(words), 1.0, 1 / np.maximum(1, 2 * size - 1)[whose])
+    return whose, np.concatenate(index), share
 
 
 def base(texts: list[bytes | None]) -> dict[str, np.ndarray]:
@@ -70,9 +85,10 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float) -> None:
         self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
 
-    def word(self, word: bytes) -> float:
-        w = self.weights[features(word)]
-        return float(w[0] + w[1:].mean()) if len(w) > 1 else float(w[0])
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """What each word adds to the mean."""
+        whose, index, share = features(words)
+        return np.bincount(whose, self.weights[index] * share, len(words))[:, None]
 
     def probability(self, means: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * (means + self.bias) + self.shift, -40, 40)))
@@ -99,17 +115,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
         b = base(batch.column("text").to_pylist())
-        out_i, out_v = [], []
-        memory = Memory(lambda w: features(w).tobytes(), 100_000)
-        stops = np.cumsum(b["n_words"])
-        for a, z in zip((stops - b["n_words"]).tolist(), stops.tolist()):
-            each = [np.frombuffer(x, np.int32) for x in memory.all(b["words"][a:z])]
-            index = np.concatenate([*each, np.zeros(0, np.int32)])
-            weight = np.concatenate([*(np.concatenate(([1.0], np.full(len(f) - 1, 1 / max(1, len(f) - 1)))) for f in each), np.zeros(0)]) / max(1, z - a)
-            unique, where = np.unique(index, return_inverse=True)
-            out_i.append(unique.tolist())
-            out_v.append(np.bincount(where, weight, len(unique)).tolist())
-        return pa.record_batch([batch.column("doc_id"), batch.column("quality"), pa.array(out_i, pa.list_(pa.int32())), pa.array(out_v, pa.list_(pa.float64()))], ["doc_id", "quality", "index", "value"])
+        whose, index, share = features(b["words"])
+        owner = b["doc"][whose]
+        key, where = np.unique(owner * DIMENSIONS + index, return_inverse=True)
+        value = np.bincount(where, share / b["n_words"][owner], len(key))
+        counts = np.bincount(key // DIMENSIONS, minlength=batch.num_rows)
+        out_i, out_v = lists(key % DIMENSIONS, counts, pa.int32()), lists(value, counts, pa.float64())
+        return pa.record_batch([batch.column("doc_id"), batch.column("quality"), out_i, out_v], ["doc_id", "quality", "index", "value"])
 
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen.withColumn("quality", F.col("quality").cast("int"))), "doc_id")  # at most `sample` ids
     got = arrow_map(few.select("doc_id", "quality", "text"), vectors, "doc_id long, quality int, index array<int>, value array<double>").toArrow()
@@ -153,14 +165,14 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """doc_id, the base figures, base_failed, quality (the probability) and kept, of every row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # a fixed number of weights
-    held: dict[int, Memory] = {}
+    name = f"quality {uuid.uuid4().hex}"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        memory = held.setdefault(id(m), Memory(m.word, 300_000))
+        sums = once(name, lambda: Sums(m.words, 1))
         b = base(batch.column("text").to_pylist())
         n = b["n_words"]
-        means = np.bincount(b["doc"], np.array(memory.all(b["words"]), np.float64), len(n)) / np.maximum(1, n)
+        means = np.bincount(b["doc"], sums.of(b["words"])[:, 0], len(n)) / np.maximum(1, n)
         p = m.probability(means)
         failed = (n < MIN_WORDS) | (100 * b["n_repeat_words"] > MAX_REPEATED * n)
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

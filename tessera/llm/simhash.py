@@ -4,8 +4,8 @@ Two fingerprints at `threshold` 3 or fewer differing bits differ in at most one
 half, the anchors are the words of the Hamming code [31, 26], a perfect covering code of radius 1: every 31-bit string
 has one anchor within distance 1, its home. If x and y differ in at most one bit there, y lies within radius plus
 threshold, 1 + 1, of x's home. So each fingerprint goes to its 2 homes, and as a guest to the 1 or 16 anchors within
-distance 2 in each half; homes and guests are compared per anchor. A pair meets once: the lesser is the home, and the second
-half counts only where the first half's difference is larger than 1.
+distance 2 in each half; homes and guests are compared per anchor. A pair counts once: the lesser is the home, and it counts
+in the first half if it differs there in at most one bit, else in the second.
 
 Equal fingerprints are one class before anything is compared, so copies cost nothing; links are kept between classes, and
 no link between different texts is lost. Hot anchors are split by AQE's skew join. Components come from alternating
@@ -83,7 +83,7 @@ def linked(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     guests = parts.select(F.col("fp").alias("y"), "side", "part", F.explode(patterns[F.col("s").cast("int")]).alias("e")).select("y", "side", F.col("part").bitwiseXOR(F.col("e")).alias("anchor"))
     apart = F.col("x").bitwiseXOR(F.col("y"))
     first = F.bit_count(apart.bitwiseAND(F.lit(_LOW31))) <= 1
-    return homes.join(guests, ["side", "anchor"]).filter((F.col("x") < F.col("y")) & (F.bit_count(apart) <= threshold) & ((F.col("side") == 0) | ~first)).select("x", "y")
+    return homes.join(guests, ["side", "anchor"]).filter((F.col("x") < F.col("y")) & (F.bit_count(apart) <= threshold) & ((F.col("side") == 0) == first)).select("x", "y")
 
 
 def components(edges: DataFrame) -> DataFrame:

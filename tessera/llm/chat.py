@@ -1,12 +1,13 @@
 r"""Chat formatting over reply trees.
 
-Messages name their parent. Root-to-leaf paths grow by self-joins, one level of all trees at a time, each level cut by a
-checkpoint; a leaf carries its path. Branches of a conversation are ranked by the mean score along the path (ties: the
+Messages name their parent. Self-joins double each message's link, from its parent to the message 2, 4, 8, ... above it, with
+the scores between them, until every link has passed its root; each round is cut by a checkpoint, and there are as many
+as the logarithm of the deepest tree. The same links then enumerate the paths of the chosen leaves. Branches of a conversation are ranked by the mean score along the path (ties: the
 longer, then the least leaf id), and the chosen paths are formatted, each as one conversation.
 
 The template: each turn is `### Role: text</turn>` and a newline. Inside roles and texts a backslash, `###` and `</turn>`
 get a backslash before them, so control strings never occur unescaped and reading back is exact. A role other than user,
-assistant and system is written after a backslash as it is, with its colons escaped too.
+assistant and system is written after an equals sign, with its colons escaped too.
 
 Defined results: a null text or role is empty; a null score is 0; messages whose ancestors loop or are missing are on
 no path; of rows with the same conversation and id the least by (parent, role, text) counts; an empty table gives no rows;
@@ -27,7 +28,7 @@ from .common import NULL_ID, cut
 NAMES = {"user": "User", "assistant": "Assistant", "system": "System"}
 _BACK = {v: k for k, v in NAMES.items()}
 _ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
-_TURN = re.compile(r"### ((?:[^\\:]|\\[\s\S])*): ((?:[^\\<]|\\[\s\S]|<(?!/turn>))*)</turn>\n")
+_TURN = re.compile(r"### ([^\\:]*(?:\\[\s\S][^\\:]*)*): ([^\\<]*(?:(?:\\[\s\S]|<(?!/turn>))[^\\<]*)*)</turn>\n")
 
 
 def escape(text: str) -> str:
@@ -40,7 +41,7 @@ def unescape(text: str) -> str:
 
 def formatted(turns: list[tuple[str, str]]) -> str:
     """One conversation from (role, text) pairs."""
-    return "".join(f"### {NAMES.get(role) or chr(92) + escape(role).replace(':', chr(92) + ':')}: {escape(text)}</turn>\n" for role, text in turns)
+    return "".join(f"### {NAMES.get(role) or '=' + escape(role).replace(':', chr(92) + ':')}: {escape(text)}</turn>\n" for role, text in turns)
 
 
 def parsed(conversation: str) -> list[tuple[str, str, int, int]]:
@@ -74,23 +75,25 @@ def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
         messages.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NULL_ID)).alias("conv_id"), "id", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
         .withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
     )
-    links = nodes.select("conv_id", "id", "parent", "score")
-    parents = links.filter("parent IS NOT NULL").select("conv_id", F.col("parent").alias("id"), F.lit(True).alias("inner")).distinct()
-    links = cut(links.join(parents, ["conv_id", "id"], "left").withColumn("inner", F.coalesce("inner", F.lit(False))))
-    front = cut(links.filter("parent IS NULL").select("conv_id", "id", "inner", F.array("id").alias("path"), F.col("score").alias("total")))
-    levels = []
-    while not front.isEmpty():
-        levels.append(front.filter(~F.col("inner")))
-        above = front.select("conv_id", F.col("id").alias("parent"), "path", "total")
-        front = cut(links.join(above, ["conv_id", "parent"]).select("conv_id", "id", "inner", F.array_append("path", F.col("id")).alias("path"), (F.col("total") + F.col("score")).alias("total")))
-    if not levels:
-        return nodes.select("conv_id", F.lit(0).alias("branch"), F.lit(0).alias("place"), "role", "text").limit(0)
-    leaves = levels[0]
-    for level in levels[1:]:
-        leaves = leaves.union(level)
-    rank = Window.partitionBy("conv_id").orderBy(F.desc(F.col("total") / F.size("path")), F.desc(F.size("path")), "id")
-    chosen = leaves.withColumn("branch", F.row_number().over(rank)).filter(F.col("branch") <= best)
-    return chosen.select("conv_id", "branch", F.posexplode("path").alias("place", "id")).join(nodes.select("conv_id", "id", "role", "text"), ["conv_id", "id"]).select("conv_id", "branch", "place", "role", "text")
+    keys = nodes.select("conv_id", "id", F.lit(True).alias("there"))
+    parents = nodes.filter("parent IS NOT NULL").select("conv_id", F.col("parent").alias("id"), F.lit(True).alias("inner")).distinct()
+    # a message with a missing parent is made its own, so that like any loop it never comes to an end
+    up = F.when(F.col("parent").isNotNull() & F.col("there").isNull(), F.col("id")).otherwise(F.col("parent"))
+    links = nodes.join(keys.withColumnRenamed("id", "parent"), ["conv_id", "parent"], "left").select("conv_id", "id", up.alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("n"))
+    links = cut(links.join(parents, ["conv_id", "id"], "left").select("conv_id", "id", "up", "total", "n", F.col("inner").isNull().alias("leaf")))
+    most = nodes.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    jumps = []  # jumps[k]: from each message to the one 2**k above it
+    while 1 << len(jumps) < most and not links.filter("up IS NOT NULL").isEmpty():
+        jump = links.filter("up IS NOT NULL")
+        jumps.append(jump.select("conv_id", "id", "up"))
+        above = links.select("conv_id", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("n").alias("n2"))
+        links = cut(links.join(above, ["conv_id", "up"], "left").select("conv_id", "id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), "leaf"))
+    rank = Window.partitionBy("conv_id").orderBy(F.desc(F.col("total") / F.col("n")), F.desc("n"), "id")
+    chosen = links.filter("leaf AND up IS NULL").withColumn("branch", F.row_number().over(rank)).filter(F.col("branch") <= best)
+    paths = chosen.select("conv_id", "branch", "id", (F.col("n") - 1).alias("place"))
+    for k, jump in enumerate(jumps):  # each number of steps is one sum of powers of two, so each message comes once
+        paths = cut(paths.union(paths.join(jump, ["conv_id", "id"]).select("conv_id", "branch", F.col("up").alias("id"), (F.col("place") - (1 << k)).alias("place"))))
+    return paths.join(nodes.select("conv_id", "id", "role", "text"), ["conv_id", "id"]).select("conv_id", "branch", F.col("place").cast("int").alias("place"), "role", "text")
 
 
 def conversations(paths: DataFrame) -> DataFrame:

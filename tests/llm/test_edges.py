@@ -158,13 +158,13 @@ def test_gradients():
     _, g = net.step(rows, lang)
     for k, v in net.p.items():
         at = np.unravel_index(np.abs(g[k]).argmax(), v.shape)
-        old, e = v[at], 1e-5
+        old, e = v[at], 1e-4  # states are in single precision
         v[at] = old + e
         up, _ = net.step(rows, lang)
         v[at] = old - e
         down, _ = net.step(rows, lang)
         v[at] = old
-        assert abs(g[k][at] - (up - down) / 2 / e) < 1e-5 + 1e-3 * abs(g[k][at])
+        assert abs(g[k][at] - (up - down) / 2 / e) < 2e-4 + 1e-2 * abs(g[k][at])
 
 
 def brute_print(text):

@@ -40,7 +40,7 @@ def q2(spark: SparkSession, d: str) -> DataFrame:
     near = supplier.join(nation, c("s_nationkey") == c("n_nationkey")).join(region.filter("r_name = 'MIDDLE EAST'"), c("n_regionkey") == c("r_regionkey"))
     offers = line.select("l_partkey", "l_suppkey", "l_extendedprice").join(part.filter("p_size = 15 AND p_type LIKE '%ARD'").select("p_partkey", "p_brand"), c("l_partkey") == c("p_partkey")).join(near.select("s_suppkey", "s_acctbal", "s_name", "n_name"), c("l_suppkey") == c("s_suppkey"))
     least = offers.groupBy(c("l_partkey").alias("k")).agg(F.min("l_extendedprice").alias("least"))
-    return offers.join(least, (c("l_partkey") == c("k")) & (c("l_extendedprice") == c("least"))).select("s_acctbal", "s_name", "n_name", "p_partkey", "p_brand")
+    return offers.join(least, (c("l_partkey") == c("k")) & (c("l_extendedprice") == c("least"))).select("p_partkey", "p_brand", "s_name", "s_acctbal", "n_name")
 
 
 def q3(spark: SparkSession, d: str) -> DataFrame:
@@ -163,7 +163,7 @@ def q15(spark: SparkSession, d: str) -> DataFrame:
 
 def q16(spark: SparkSession, d: str) -> DataFrame:
     line, part, supplier = _tables(spark, d, "lineitem part supplier")
-    parts = part.filter((c("p_brand") != "Brand#11") & ~c("p_type").like("SMALL%") & c("p_size").isin(6, 7, 22, 2, 37, 31, 15, 1))
+    parts = part.filter((c("p_brand") != "Brand#11") & ~c("p_type").like("SMALL%") & c("p_size").isin(1, 2, 6, 7, 15, 22, 31, 37))
     good = line.select("l_partkey", "l_suppkey").join(supplier.filter("s_acctbal < 0"), c("l_suppkey") == c("s_suppkey"), "left_anti")
     return good.join(parts, c("l_partkey") == c("p_partkey")).select("p_brand", "p_type", "p_size", "l_suppkey").distinct().groupBy("p_brand", "p_type", "p_size").agg(F.count("l_suppkey").alias("supplier_cnt"))
 
@@ -215,55 +215,60 @@ def q22(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {k: f for k, f in globals().items() if k.startswith("q") and k[1:2].isdigit()}
 
+#: Joins that the texts share.
 _PAID = "l_extendedprice * (1 - l_discount)"
+_LO = "lineitem JOIN orders ON o_orderkey = l_orderkey"
+_LOC = f"{_LO} JOIN customer ON c_custkey = o_custkey"
+_SN = "supplier JOIN nation ON n_nationkey = s_nationkey"
+_IN = "TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31 23:59:59'"
+_NEAR = f"(SELECT l.*, s_acctbal, s_name, n_name FROM lineitem l JOIN {_SN} ON s_suppkey = l_suppkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'MIDDLE EAST')"
 SQL = {
-    "q1": f"""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 4) AS sum_qty, round(sum(l_extendedprice), 4) AS sum_base_price, round(sum({_PAID}), 4) AS sum_disc_price,
-      round(sum({_PAID} * (1 + l_tax)), 3) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 4) AS avg_disc, count(*) AS count_order
-      FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-21' GROUP BY ALL""",
-    "q2": """SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM part, supplier, lineitem, nation, region
-      WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND p_size = 15 AND p_type LIKE '%ARD' AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'MIDDLE EAST'
-      AND l_extendedprice = (SELECT min(l_extendedprice) FROM lineitem, supplier, nation, region WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'MIDDLE EAST')""",
-    "q3": f"""SELECT l_orderkey, o_orderdate, round(sum({_PAID}), 4) AS revenue FROM customer, orders, lineitem WHERE c_mktsegment = 'HOUSEHOLD' AND c_custkey = o_custkey AND l_orderkey = o_orderkey
-      AND o_orderdate < TIMESTAMP '1998-05-31' AND l_shipdate > TIMESTAMP '1998-05-31' GROUP BY ALL""",
-    "q4": """SELECT o_orderpriority, count(*) AS order_count FROM orders WHERE o_orderdate >= TIMESTAMP '1996-05-01' AND o_orderdate < TIMESTAMP '1996-08-01'
-      AND EXISTS (SELECT * FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY ALL""",
-    "q4_fanout": """SELECT o_orderpriority, count(*) AS order_count FROM orders, lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R'
-      AND o_orderdate >= TIMESTAMP '1996-05-01' AND o_orderdate < TIMESTAMP '1996-08-01' GROUP BY ALL""",
-    "q5": f"""SELECT n_name, round(sum({_PAID}), 4) AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey
-      AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'AMERICA' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY ALL""",
-    "q6": """SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'
-      AND l_discount BETWEEN CAST(0.05 AS DOUBLE) AND CAST(0.07 AS DOUBLE) AND l_quantity < 24""",
-    "q7": f"""SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS BIGINT) AS l_year, round(sum({_PAID}), 4) AS revenue FROM supplier, lineitem, orders, customer, nation n1, nation n2
-      WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey
-      AND ((n1.n_name = 'NATION_3' AND n2.n_name = 'NATION_7') OR (n1.n_name = 'NATION_7' AND n2.n_name = 'NATION_3')) AND l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31' GROUP BY ALL""",
-    "q8": f"""SELECT CAST(year(o_orderdate) AS BIGINT) AS o_year, round(sum(CASE WHEN n2.n_name = 'NATION_3' THEN {_PAID} ELSE 0 END) / sum({_PAID}), 4) AS mkt_share
-      FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey
-      AND c_nationkey = n1.n_nationkey AND n1.n_regionkey = r_regionkey AND r_name = 'AFRICA' AND s_nationkey = n2.n_nationkey AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31' AND p_type = 'PROMO' GROUP BY ALL""",
-    "q9": f"""SELECT n_name AS nation, CAST(year(o_orderdate) AS BIGINT) AS o_year, round(sum({_PAID} - p_retailprice * l_quantity), 4) AS sum_profit FROM part, supplier, lineitem, orders, nation
-      WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%widget%' GROUP BY ALL""",
-    "q10": f"""SELECT c_custkey, c_name, round(sum({_PAID}), 4) AS revenue, c_acctbal, n_name FROM customer, orders, lineitem, nation WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey
-      AND o_orderdate >= TIMESTAMP '1996-05-01' AND o_orderdate < TIMESTAMP '1996-06-01' AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY ALL""",
-    "q11": """SELECT l_partkey, round(sum(l_extendedprice * l_quantity), 4) AS value FROM lineitem, supplier, nation WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_name = 'NATION_3'
-      GROUP BY l_partkey HAVING sum(l_extendedprice * l_quantity) > (SELECT sum(l_extendedprice * l_quantity) * CAST(0.001 AS DOUBLE) FROM lineitem, supplier, nation WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_name = 'NATION_3')""",
-    "q12": """SELECT l_linestatus, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high_line_count, CAST(sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS low_line_count
-      FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_returnflag IN ('A', 'R') AND o_orderdate < l_shipdate AND l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' GROUP BY ALL""",
-    "q13": """SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%URGENT%' AND o_orderstatus = 'F' GROUP BY c_custkey) GROUP BY ALL""",
-    "q13_inner": """SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer JOIN orders ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%URGENT%' AND o_orderstatus = 'F' GROUP BY c_custkey) GROUP BY ALL""",
-    "q14": f"""SELECT round(100 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN {_PAID} ELSE 0 END) / sum({_PAID}), 4) AS promo_revenue FROM lineitem, part WHERE l_partkey = p_partkey AND l_shipdate >= TIMESTAMP '1996-08-01' AND l_shipdate < TIMESTAMP '1996-09-01'""",
-    "q15": f"""WITH r AS (SELECT l_suppkey, round(sum({_PAID}), 4) AS total_revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-06-01' AND l_shipdate < TIMESTAMP '1996-09-01' GROUP BY l_suppkey)
-      SELECT s_suppkey, s_name, total_revenue FROM supplier, r WHERE s_suppkey = l_suppkey AND total_revenue = (SELECT max(total_revenue) FROM r)""",
-    "q16": """SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand <> 'Brand#11' AND p_type NOT LIKE 'SMALL%' AND p_size IN (6, 7, 22, 2, 37, 31, 15, 1)
-      AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY ALL""",
-    "q17": """SELECT round(sum(l_extendedprice) / 7, 4) AS avg_yearly FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand = 'Brand#5' AND l_quantity < (SELECT CAST(0.2 AS DOUBLE) * avg(l_quantity) FROM lineitem WHERE l_partkey = p_partkey)""",
-    "q18": """SELECT c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice, sum(l_quantity) AS sum_qty FROM customer, orders, lineitem
-      WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 212) AND c_custkey = o_custkey AND o_orderkey = l_orderkey GROUP BY ALL""",
-    "q19": f"""SELECT round(sum({_PAID}), 4) AS revenue FROM lineitem, part WHERE p_partkey = l_partkey AND l_returnflag IN ('A', 'R') AND ((p_brand = 'Brand#1' AND l_quantity BETWEEN 1 AND 11 AND p_size BETWEEN 1 AND 15)
-      OR (p_brand = 'Brand#2' AND l_quantity BETWEEN 10 AND 20 AND p_size BETWEEN 1 AND 30) OR (p_brand = 'Brand#3' AND l_quantity BETWEEN 20 AND 30 AND p_size BETWEEN 1 AND 45))""",
-    "q20": """SELECT s_name, s_acctbal FROM supplier, nation WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'small%')
-      AND l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01' GROUP BY l_partkey, l_suppkey HAVING sum(l_quantity) > 60) AND s_nationkey = n_nationkey AND n_name IN ('NATION_0', 'NATION_1', 'NATION_3', 'NATION_7', 'NATION_11')""",
-    "q21": """SELECT s_name, count(*) AS numwait FROM supplier, lineitem l1, orders, nation WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus = 'F' AND l1.l_returnflag = 'R'
-      AND EXISTS (SELECT * FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey) AND NOT EXISTS (SELECT * FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_returnflag = 'R')
-      AND s_nationkey = n_nationkey AND n_name IN ('NATION_3', 'NATION_7') GROUP BY s_name""",
-    "q22": """SELECT cntrycode, count(*) AS numcust, round(sum(c_acctbal), 4) AS totacctbal FROM (SELECT substring(c_mktsegment, 1, 2) AS cntrycode, c_acctbal FROM customer WHERE substring(c_mktsegment, 1, 2) IN ('AU', 'BU', 'HO')
-      AND c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0 AND substring(c_mktsegment, 1, 2) IN ('AU', 'BU', 'HO')) AND NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2000-06-01')) GROUP BY cntrycode""",
+    "q1": f"""WITH l AS (SELECT *, {_PAID} AS paid FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-21')
+      SELECT l_returnflag, l_linestatus, count(*) AS count_order, round(sum(l_quantity), 4) AS sum_qty, round(avg(l_quantity), 4) AS avg_qty, round(sum(l_extendedprice), 4) AS sum_base_price,
+      round(avg(l_extendedprice), 4) AS avg_price, round(sum(paid), 4) AS sum_disc_price, round(sum(paid * (1 + l_tax)), 3) AS sum_charge, round(avg(l_discount), 4) AS avg_disc FROM l GROUP BY ALL""",
+    "q2": f"""WITH offers AS (SELECT * FROM {_NEAR} JOIN part ON p_partkey = l_partkey WHERE p_type LIKE '%ARD' AND p_size = 15)
+      SELECT p_partkey, p_brand, s_name, s_acctbal, n_name FROM offers QUALIFY l_extendedprice = min(l_extendedprice) OVER (PARTITION BY p_partkey)""",
+    "q3": f"""SELECT l_orderkey, o_orderdate, round(sum({_PAID}), 4) AS revenue FROM {_LOC} WHERE l_shipdate > TIMESTAMP '1998-05-31' AND c_mktsegment = 'HOUSEHOLD' AND o_orderdate < TIMESTAMP '1998-05-31' GROUP BY ALL""",
+    "q4": """SELECT o_orderpriority, count(*) AS order_count FROM orders SEMI JOIN (SELECT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R') ON k = o_orderkey
+      WHERE o_orderdate >= TIMESTAMP '1996-05-01' AND o_orderdate < TIMESTAMP '1996-08-01' GROUP BY ALL""",
+    "q4_fanout": f"""SELECT o_orderpriority, count(*) AS order_count FROM {_LO} WHERE l_returnflag = 'R' AND o_orderdate >= TIMESTAMP '1996-05-01' AND o_orderdate < TIMESTAMP '1996-08-01' GROUP BY ALL""",
+    "q5": f"""SELECT n_name, round(sum({_PAID}), 4) AS revenue FROM {_LOC} JOIN {_SN} ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+      WHERE o_orderdate BETWEEN {_IN} AND r_name = 'AMERICA' GROUP BY ALL""",
+    "q6": f"""SELECT round(sum(l_discount * l_extendedprice), 4) AS revenue FROM lineitem WHERE l_quantity < 24 AND l_shipdate BETWEEN {_IN} AND l_discount BETWEEN CAST(0.05 AS DOUBLE) AND CAST(0.07 AS DOUBLE)""",
+    "q7": f"""SELECT seller.n_name AS supp_nation, buyer.n_name AS cust_nation, CAST(year(l_shipdate) AS BIGINT) AS l_year, round(sum({_PAID}), 4) AS revenue FROM {_LOC} JOIN supplier ON s_suppkey = l_suppkey
+      JOIN nation seller ON seller.n_nationkey = s_nationkey JOIN nation buyer ON buyer.n_nationkey = c_nationkey
+      WHERE (seller.n_name, buyer.n_name) IN (('NATION_3', 'NATION_7'), ('NATION_7', 'NATION_3')) AND l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31' GROUP BY ALL""",
+    "q8": f"""SELECT CAST(year(o_orderdate) AS BIGINT) AS o_year, round(coalesce(sum({_PAID}) FILTER (WHERE seller.n_name = 'NATION_3'), 0) / sum({_PAID}), 4) AS mkt_share FROM {_LOC} JOIN part ON p_partkey = l_partkey
+      JOIN supplier ON s_suppkey = l_suppkey JOIN nation seller ON seller.n_nationkey = s_nationkey JOIN nation buyer ON buyer.n_nationkey = c_nationkey JOIN region ON r_regionkey = buyer.n_regionkey
+      WHERE p_type = 'PROMO' AND r_name = 'AFRICA' AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31' GROUP BY ALL""",
+    "q9": f"""SELECT n_name AS nation, CAST(year(o_orderdate) AS BIGINT) AS o_year, round(sum({_PAID} - l_quantity * p_retailprice), 4) AS sum_profit FROM {_LO} JOIN {_SN} ON s_suppkey = l_suppkey
+      JOIN part ON p_partkey = l_partkey WHERE contains(p_name, 'widget') GROUP BY ALL""",
+    "q10": f"""SELECT c_custkey, c_name, c_acctbal, n_name, round(sum({_PAID}), 4) AS revenue FROM {_LOC} JOIN nation ON n_nationkey = c_nationkey
+      WHERE l_returnflag = 'R' AND o_orderdate >= TIMESTAMP '1996-05-01' AND o_orderdate < TIMESTAMP '1996-06-01' GROUP BY ALL""",
+    "q11": f"""WITH v AS (SELECT l_partkey, sum(l_quantity * l_extendedprice) AS v FROM lineitem JOIN {_SN} ON s_suppkey = l_suppkey WHERE n_name = 'NATION_3' GROUP BY ALL)
+      SELECT l_partkey, round(v, 4) AS value FROM v WHERE v > (SELECT sum(v) * CAST(0.001 AS DOUBLE) FROM v)""",
+    "q12": f"""SELECT l_linestatus, count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AS high_line_count, count(*) FILTER (WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS low_line_count
+      FROM {_LO} WHERE l_shipdate BETWEEN {_IN} AND o_orderdate < l_shipdate AND l_returnflag IN ('A', 'R') GROUP BY ALL""",
+    "q13": """WITH n AS (SELECT count(o.o_custkey) AS c_count FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority NOT LIKE '%URGENT%') o ON o.o_custkey = c_custkey GROUP BY c_custkey)
+      SELECT c_count, count(*) AS custdist FROM n GROUP BY ALL""",
+    "q13_inner": """WITH n AS (SELECT count(*) AS c_count FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority NOT LIKE '%URGENT%' AND o_custkey IN (SELECT c_custkey FROM customer) GROUP BY o_custkey)
+      SELECT c_count, count(*) AS custdist FROM n GROUP BY ALL""",
+    "q14": f"""SELECT round(100 * sum({_PAID}) FILTER (WHERE starts_with(p_type, 'PROMO')) / sum({_PAID}), 4) AS promo_revenue FROM part JOIN lineitem ON l_partkey = p_partkey
+      WHERE l_shipdate >= TIMESTAMP '1996-08-01' AND l_shipdate < TIMESTAMP '1996-09-01'""",
+    "q15": f"""WITH r AS (SELECT l_suppkey AS s_suppkey, round(sum({_PAID}), 4) AS total_revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-06-01' AND l_shipdate < TIMESTAMP '1996-09-01' GROUP BY ALL)
+      SELECT s_suppkey, s_name, total_revenue FROM r JOIN supplier USING (s_suppkey) QUALIFY total_revenue = max(total_revenue) OVER ()""",
+    "q16": """SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt FROM part JOIN lineitem ON l_partkey = p_partkey ANTI JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) ON s_suppkey = l_suppkey
+      WHERE p_size IN (1, 2, 6, 7, 15, 22, 31, 37) AND NOT starts_with(p_type, 'SMALL') AND p_brand != 'Brand#11' GROUP BY ALL""",
+    "q17": """WITH l AS (SELECT l_extendedprice, l_quantity, avg(l_quantity) OVER (PARTITION BY l_partkey) AS mean FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand = 'Brand#5')
+      SELECT round(sum(l_extendedprice) / 7, 4) AS avg_yearly FROM l WHERE l_quantity < CAST(0.2 AS DOUBLE) * mean""",
+    "q18": f"""SELECT c_custkey, c_name, o_orderkey, o_totalprice, o_orderdate, sum(l_quantity) AS sum_qty FROM {_LOC} GROUP BY ALL HAVING sum(l_quantity) > 212""",
+    "q19": f"""SELECT round(sum({_PAID}), 4) AS revenue FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag IN ('R', 'A') AND p_size >= 1 AND CASE p_brand
+      WHEN 'Brand#1' THEN l_quantity BETWEEN 1 AND 11 AND p_size <= 15 WHEN 'Brand#2' THEN l_quantity BETWEEN 10 AND 20 AND p_size <= 30 WHEN 'Brand#3' THEN l_quantity BETWEEN 20 AND 30 AND p_size <= 45 ELSE false END""",
+    "q20": f"""WITH busy AS (SELECT l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE starts_with(p_name, 'small') AND l_shipdate BETWEEN {_IN} GROUP BY l_suppkey, l_partkey HAVING sum(l_quantity) > 60)
+      SELECT s_name, s_acctbal FROM {_SN} WHERE s_suppkey IN (FROM busy) AND n_name IN ('NATION_11', 'NATION_7', 'NATION_3', 'NATION_1', 'NATION_0')""",
+    "q21": f"""SELECT s_name, count(*) AS numwait FROM {_LO} JOIN {_SN} ON s_suppkey = l_suppkey WHERE n_name IN ('NATION_3', 'NATION_7') AND l_returnflag = 'R' AND o_orderstatus = 'F'
+      AND EXISTS (FROM lineitem other WHERE other.l_orderkey = o_orderkey AND other.l_suppkey != s_suppkey) AND NOT EXISTS (FROM lineitem late WHERE late.l_returnflag = 'R' AND late.l_orderkey = o_orderkey AND late.l_suppkey != s_suppkey) GROUP BY ALL""",
+    "q22": """WITH own AS (SELECT *, left(c_mktsegment, 2) AS cntrycode FROM customer WHERE left(c_mktsegment, 2) IN ('AU', 'BU', 'HO'))
+      SELECT cntrycode, count(*) AS numcust, round(sum(c_acctbal), 4) AS totacctbal FROM own ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-06-01') ON o_custkey = c_custkey
+      WHERE c_acctbal > (SELECT avg(c_acctbal) FILTER (WHERE c_acctbal > 0) FROM own) GROUP BY ALL""",
 }

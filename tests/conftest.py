@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime
 import os
 import sys
+from pathlib import Path
 
 os.environ.setdefault("OMP_NUM_THREADS", "1")
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 

@@ -7,6 +7,7 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +23,7 @@ def ship(spark: SparkSession) -> None:
     """Sends the package to the workers, once for each application: they may have neither its folder nor its path."""
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        root = str(Path(__file__).resolve().parents[2])
         path = os.path.join(tempfile.mkdtemp(prefix="tessera-code-"), "tessera.zip")
         with zipfile.ZipFile(path, "w") as out:
             for folder, _, files in os.walk(os.path.join(root, "tessera")):

@@ -2,7 +2,7 @@
 
 Documents are range-partitioned by doc_id; each task encodes its documents, appends the end id, and writes shards of a
 bounded number of ids. A shard's ids are compressed by Re-Pair: the most frequent pairs of neighbouring symbols within
-documents get nonterminals, in rounds, each of which replaces many pairs that don't overlap. A shard stores its rules and
+parts (the text cut before spaces) get nonterminals, in rounds, each of which replaces many pairs that don't overlap. A shard stores its rules and
 the length of each rule's expansion, and for each document where its symbols start; so one document, or any range of
 its ids, is decoded without the others.
 
@@ -29,16 +29,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Memory, cut, shared_dir
+from .common import NULL_ID, Memory, cut, once, shared_dir, steps
 
-END, FIRST, SHARD_IDS = 2, 50257, 3 << 20
-ROUNDS, PER_ROUND, LEAST = 3, 5000, 8
+END, FIRST, SHARD_BYTES = 2, 50257, 20 << 20
+ROUNDS, PER_ROUND, LEAST, SLOTS = 2, 7500, 8, 18
 _SAFE, _GAP = re.compile(r"(?= \S)"), re.compile(r"\s\s")
 
 
@@ -73,21 +74,33 @@ class Encoder:
         if not word.isalpha():
             return self.part(lead + text)
         word = word if word.isascii() else word.encode().decode("latin1").translate(_WRITTEN)
-        ids = array("I")
-        for match in (_WRITTEN[32] + word,) if lead == " " else (_WRITTEN[10], word):
-            ids.extend([t.id for t in self.model(match)])
-        if mark:
-            ids.extend([t.id for t in self.model(mark)])
-        return ids.tobytes()
-
-    def text(self, text: str | None) -> bytes:
-        """The ids of a text as native unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if text[0].isspace() or text[-1].isspace() or _GAP.search(text):
-            return b"".join(self.parts.all([p for p in _SAFE.split(text) if p]))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.part(first) + b"".join(self.after.all(rest))
+        matches = (_WRITTEN[32] + word,) if lead == " " else (_WRITTEN[10], word)
+        return array("I", [t.id for match in (*matches, mark)[: len(matches) + len(mark)] for t in self.model(match)]).tobytes()
+
+    def cut(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The texts in parts: each different part's ids, the parts' numbers in order, and how many parts each text has."""
+        plain = np.array([bool(t) and not (t[0].isspace() or t[-1].isspace() or _GAP.search(t)) for t in texts], bool)
+        split = pc.split_pattern(pc.replace_substring(pa.array([t for t, p in zip(texts, plain) if p], pa.large_string()), "\n", " \n"), " ")
+        encoded = split.values.dictionary_encode()
+        words, at = self.after.all(encoded.dictionary.to_pylist()), encoded.indices.to_numpy().astype(np.int64)
+        begin = split.offsets.to_numpy()
+        counts = np.zeros(len(texts), np.int64)
+        counts[plain] = np.diff(begin)
+        heads = [t.split(" ", 1)[0].split("\n", 1)[0] for t, p in zip(texts, plain) if p]  # a text's first part has no space before it
+        at[begin[:-1]] = len(words) + np.arange(len(heads))
+        words += self.parts.all(heads)
+        if not plain.all():
+            pieces, at = np.split(at, np.cumsum(counts)[:-1]), []
+            for k, text in enumerate(texts):
+                if plain[k] or not text:
+                    at.append(pieces[k])
+                    continue
+                own = [p for p in _SAFE.split(text) if p]
+                counts[k] = len(own)
+                at.append(len(words) + np.arange(len(own)))
+                words += self.parts.all(own)
+            at = np.concatenate(at)
+        return words, at, counts
 
 
 @dataclass
@@ -115,13 +128,12 @@ class Grammar:
     def expand(self, symbols: np.ndarray, pool: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """The ids that symbols stand for."""
         begin, size, ids = pool or self.pool()
-        n = size[symbols]
-        stop = np.cumsum(n)
-        return ids[np.repeat(begin[symbols] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+        return _gather(ids, begin, size, symbols)
 
 
-def repair(ids: np.ndarray, starts: np.ndarray, first: int = FIRST, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> Grammar:
-    """Re-Pair over documents that begin at starts (ascending, the first 0); pairs never cross documents.
+def repair(ids: np.ndarray, starts: np.ndarray, first: int = FIRST, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST, weights: np.ndarray | None = None) -> Grammar:
+    """Re-Pair over documents that begin at starts (ascending, the first 0); pairs never cross documents. weights: how often
+    each document counts.
 
     A round counts all pairs, takes the per_round most frequent of at least `least` places, and replaces each place whose
     pair is more frequent than the pairs it overlaps.
@@ -133,20 +145,23 @@ def repair(ids: np.ndarray, starts: np.ndarray, first: int = FIRST, rounds: int
             break
         key = seq[:-1].astype(np.int64) << 20 | seq[1:]
         key[starts[(starts > 0) & (starts < len(seq))] - 1] = -1
-        ordered = np.sort(key)
+        order = None if weights is None else np.argsort(key)
+        ordered = np.sort(key) if weights is None else key[order]
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        count, pair = np.diff(np.concatenate((edge, [len(ordered)]))), ordered[edge]
+        count = np.diff(np.append(edge, len(ordered))) if weights is None else np.add.reduceat(np.repeat(weights, np.diff(np.append(starts, len(seq))))[:-1][order], edge)
+        pair = ordered[edge]
         good = (count >= least) & (pair >= 0)
         count, pair = count[good], pair[good]
         order = np.lexsort((pair, -count))[: min(per_round, (1 << 16) - first - len(rules)) if first < 1 << 16 else per_round]
         chosen = pair[order]
         if not len(chosen):
             break
-        slot = lambda k: ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
-        table = np.full(1 << 21, len(chosen), np.int32)
+        slot = lambda k: ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        table = np.full(1 << SLOTS, len(chosen), np.int32)
         table[slot(chosen[::-1])] = np.arange(len(chosen), dtype=np.int32)[::-1]  # of pairs that meet in a slot the most frequent stays
         rank = table[slot(key)]
-        rank[np.append(chosen, -2)[rank] != key] = len(chosen)
+        at = np.flatnonzero(rank < len(chosen))
+        rank[at[chosen[rank[at]] != key[at]]] = len(chosen)
         take = rank < len(chosen)
         take[1:] &= rank[1:] < rank[:-1]
         take[:-1] &= rank[:-1] <= rank[1:]
@@ -165,6 +180,31 @@ def repair(ids: np.ndarray, starts: np.ndarray, first: int = FIRST, rounds: int
     return Grammar(first, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.uint32), seq.astype(np.uint32), starts)
 
 
+def repair_parts(parts: list[bytes], at: np.ndarray, counts: np.ndarray, first: int) -> tuple[Grammar, np.ndarray]:
+    """Re-Pair over documents given as by Encoder.cut, and the number of ids of each document. A part's pairs are counted
+    and replaced once, with the weight of its places; pairs never cross parts."""
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    g = repair(np.frombuffer(b"".join(parts), np.uint32), np.cumsum(size) - size, first, weights=np.bincount(at, minlength=len(parts)))
+    width = np.diff(np.append(g.starts, len(g.symbols)))
+    symbols = _gather(g.symbols, g.starts, width, at)
+    edge = np.concatenate(([0], np.cumsum(counts)))
+    per, ids = (np.diff(np.concatenate(([0], np.cumsum(x[at])))[edge]) for x in (width, size))
+    return Grammar(first, g.rules, g.lengths, symbols, np.cumsum(per) - per), ids
+
+
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs of pool named by at, one after the other."""
+    n = size[at]
+    stop = np.cumsum(n)
+    step = np.ones(int(stop[-1]) if len(stop) else 0, np.int64)
+    some = n > 0  # each run begins where its start is, and goes on by one
+    begin, n, stop = start[at[some]], n[some], stop[some]
+    if len(begin):
+        step[0] = begin[0]
+        step[stop[:-1]] = begin[1:] - (begin[:-1] + n[:-1] - 1)
+    return pool[np.cumsum(step)]
+
+
 def to_bytes(g: Grammar, doc_ids: np.ndarray, sizes: np.ndarray, end: int = END) -> bytes:
     """The content of a file."""
     width = 2 if g.first + len(g.rules) <= 1 << 16 else 4
@@ -216,9 +256,6 @@ class Reader:
             at += n - 1
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _store(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
 
@@ -228,34 +265,30 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end: int = END) -> D
     part, piece (their order is the files'), path, n_docs, n_ids. The result is cut, so files are written once."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = Encoder(tokenizer)
-        encoder, task, (store, folder) = _ENCODERS[tokenizer], TaskContext.get(), _store(out)
+        encoder, task, (store, folder) = once(f"encoder {tokenizer}", lambda: Encoder(tokenizer)), TaskContext.get(), _store(out)
         store.create_dir(folder, recursive=True)
-        ids, keys, total, piece = [], [], 0, 0
+        size = encoder.library.get_vocab_size()
+        texts, keys, total, piece = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal ids, keys, total, piece
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
-            g = repair(np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes, encoder.library.get_vocab_size())
+            nonlocal texts, keys, total, piece
+            g, sizes = repair_parts(*encoder.cut(texts), size)
             name = f"{folder}/ids-{task.partitionId():07d}-{piece:05d}.tsra"
             with store.open_output_stream(f"{name}.{task.taskAttemptId()}") as f:
                 f.write(to_bytes(g, np.array(keys, np.int64), sizes + 1, end))
             store.move(f"{name}.{task.taskAttemptId()}", name)
-            row = pa.record_batch([pa.array([x]) for x in (task.partitionId(), piece, name, len(ids), int(sizes.sum()) + len(ids))], ["part", "piece", "path", "n_docs", "n_ids"])
-            ids, keys, total, piece = [], [], 0, piece + 1
+            row = pa.record_batch([pa.array([x]) for x in (task.partitionId(), piece, name, len(keys), int(sizes.sum()) + len(keys))], ["part", "piece", "path", "n_docs", "n_ids"])
+            texts, keys, total, piece = [], [], 0, piece + 1
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                for key, text in zip(rows.column("key").to_pylist(), rows.column("text").to_pylist()):
-                    ids.append(x := encoder.text(text))
-                    keys.append(key)
-                    total += len(x) // 4
-                    if total >= SHARD_IDS:
-                        yield flush()
-        if ids:
+            for rows in steps(batch, "text", SHARD_BYTES // 8):
+                texts += rows.column("text").to_pylist()
+                keys += rows.column("key").to_pylist()
+                total += rows.column("text").nbytes
+                if total >= SHARD_BYTES:
+                    yield flush()
+        if keys:
             yield flush()
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import base64
-import hashlib
 import re
 import zlib
 from collections import Counter
@@ -11,21 +9,11 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-import tiktoken
-import xxhash
+from brute import base_figures, library, near, sha, without_lines
 
 from tessera.llm import bpe, decontaminate, language_id, line_dedup, quality, sharding, simhash, substring_dedup, token_files
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-@pytest.fixture(scope="module")
-def library():
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def table(df, *names):
     return sorted((tuple(r) for r in df.select(*names).collect()), key=repr)
 
@@ -34,11 +22,7 @@ def inputs(df):
     return [(r["doc_id"], r["text"]) for r in df.collect()]
 
 
-def sha(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
-def test_bpe(odd, none, library):
+def test_bpe(odd, none):
     expected = []
     for i, t in inputs(odd):
         ids = library.encode_ordinary(t or "")
@@ -67,14 +51,7 @@ def test_feistel(n):
 
 def test_quality(odd, none, spark):
     base = quality.judge(odd, quality.Model(np.zeros(quality.DIMENSIONS), 0.0, 0.0, 40.0)).collect()
-    expected = []
-    for i, t in inputs(odd):
-        w = WORDS.findall(t or "")
-        c = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
-        hit = {k + j for k in range(len(w) - 4) if c[tuple(w[k : k + 5])] > 1 for j in range(5)}
-        lines = [x for x in (t or "").split("\n") if WORDS.search(x)]
-        failed = len(w) < 10 or 100 * len(hit) > 20 * len(w)
-        expected.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit), failed, not failed))
+    expected = [(i, *(x := base_figures(t)), not x[-1]) for i, t in inputs(odd)]
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     assert sorted((tuple(r[k] for k in names) for r in base), key=repr) == sorted(expected, key=repr)
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(12, 24)] + [(None, 1, 0), (15, None, 0), (999, 1, 1)], "doc_id long, quality int, toxic int")
@@ -83,7 +60,7 @@ def test_quality(odd, none, spark):
     assert quality.judge(none, quality.train(none, labels)).count() == 0
 
 
-def test_token_files(odd, none, library, tmp_path):
+def test_token_files(odd, none, tmp_path):
     tokenizer, out = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/files"
     rows = token_files.read_shards(token_files.write_shards(odd, out, tokenizer), out).collect()
     expected, start = [], 0
@@ -167,24 +144,10 @@ def test_gradients():
         assert abs(g[k][at] - (up - down) / 2 / e) < 2e-4 + 1e-2 * abs(g[k][at])
 
 
-def brute_print(text):
-    w = (text or "").encode().lower().split()
-    s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] * bool(w)
-    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
-    return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
-
-
 def test_simhash(odd, none):
     rows = inputs(odd)
-    prints = [brute_print(t) for _, t in rows]
-    near = [[j for j in range(len(rows)) if (prints[i] ^ prints[j]).bit_count() <= 3] for i in range(len(rows))]
-    root = list(range(len(rows)))
-    for _ in rows:
-        root = [min(root[j] for j in near[i]) for i in range(len(rows))]
-    least = {}
-    for (i, _), r in zip(rows, root):
-        least[r] = min((x for x in (least.get(r), i) if x is not None), default=None)
-    expected = [(i, prints[k] - (1 << 64) * (prints[k] >> 63), len(near[k]) - 1, least[root[k]]) for k, (i, _) in enumerate(rows)]
+    prints, links, least, root = near(rows)
+    expected = [(i, prints[k] - (1 << 64) * (prints[k] >> 63), links[k], least[k]) for k, (i, _) in enumerate(rows)]
     assert table(simhash.near_duplicates(odd), "doc_id", "fp", "n_near", "component_id") == sorted(expected, key=repr)
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and kept.count() == len(set(root))
@@ -216,17 +179,7 @@ def test_components(spark):
 
 def test_lines(odd, none):
     rows = inputs(odd)
-    leaves = [[line_dedup.template(x) for x in (t or "").encode().split(b"\n")] for _, t in rows]
-    docs = Counter(leaf for own in leaves for leaf in set(own) if leaf)
-    keys = [((-(2**63) if i is None else i), t) for i, t in rows]
-    expected = []
-    for (i, t), own, key in zip(rows, leaves, keys):
-        kept = []
-        for k, (line, leaf) in enumerate(zip((t or "").split("\n"), own)):
-            first = leaf and docs[leaf] >= 4 and min(k2 for k2, own2 in zip(keys, leaves) if leaf in own2)
-            if not leaf or docs[leaf] < 4 or (first == key and own.index(leaf) == k):
-                kept.append(line)
-        expected.append((i, t if t is None else "\n".join(kept)))
+    expected = [(i, t) for (i, _), t in zip(rows, without_lines(rows, 4))]
     out = line_dedup.drop_recurring(odd, 4)
     assert out.columns == odd.columns
     assert table(out, "doc_id", "text") == sorted(expected, key=repr)

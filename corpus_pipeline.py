@@ -12,7 +12,7 @@ from tessera.llm import bpe, decontaminate, language_id, line_dedup, simhash
 from tessera.llm.common import shared_dir
 
 #: Documents whose language's share is below this are rejected, like those of no language.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

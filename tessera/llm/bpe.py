@@ -24,14 +24,13 @@ from functools import lru_cache
 import pyarrow as pa
 import public_tokenizers
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memory, arrow_map, once
 
 #: Bytes of a match that are encoded without halving.
-LEAF = 48
+LEAF = 6
 #: A text cut before every space that a non-space follows: no match of the pattern spans such a place.
 _SAFE, _GAP = re.compile(r"(?= \S)"), re.compile(r"\s\s")
 
@@ -44,9 +43,8 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.small = tiktoken.Encoding("parts", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
         self.parts, self.after = Memory(self.part), Memory(self.after_space)
-        self.held = lru_cache(1 << 16)(self._held)
+        self.leaf, self.held = Memory(self.merge, 200_000), lru_cache(1 << 18)(self._held)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a short piece: the adjacent pair of least rank is merged, leftmost first, until none is in the ranks."""
@@ -61,7 +59,7 @@ class Codec:
         return [self.ranks[u] for u in units]
 
     def _held(self, a: int, b: int) -> bool:
-        return self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        return self.leaf[self.bytes_of[a] + self.bytes_of[b]] == [a, b]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The product of two encodings: the ids of the bytes of left followed by those of right."""
@@ -77,23 +75,23 @@ class Codec:
             a, b = min(len(left), 2 * a if grow_left else a), min(len(right), 2 * b if grow_right else b)
 
     def reencode(self, left: list[int], right: list[int]) -> list[int]:
-        return self.merge(b"".join(map(self.bytes_of.__getitem__, left + right)))
+        return self.leaf[b"".join(map(self.bytes_of.__getitem__, left + right))]
 
     def piece(self, data: bytes) -> list[int]:
         """The ids of one match of the pattern: halves are encoded and joined."""
         if len(data) <= LEAF:
-            return self.merge(data)
+            return self.leaf[data]
         half = len(data) // 2
         return self.join(self.piece(data[:half]), self.piece(data[half:]))
 
     def part(self, text: str) -> bytes:
         """The ids of a part, as little-endian unsigned 32-bit integers."""
-        if len(text) <= LEAF:
-            return array("I", self.small(text)).tobytes()
-        ids = array("I")
+        if text[:1] == " " and text[1:].isalpha():  # one match
+            return array("I", self.piece(text.encode())).tobytes()
+        ids: list[int] = []
         for match in self.pattern.findall(text):
-            ids.extend(self.piece(match.encode()))
-        return ids.tobytes()
+            ids += self.piece(match.encode())
+        return array("I", ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""

@@ -87,10 +87,10 @@ _HELD: dict[str, object] = {}
 
 
 def once(key: str, make: Callable[[], object]) -> object:
-    """make(), once in a worker process for each key; of many keys the last few stay. What tasks close over is copied to
+    """make(), once in a worker process for each key; of many keys the last two stay. What tasks close over is copied to
     each task, so whatever is to outlive a task is kept here."""
     if key not in _HELD:
-        while len(_HELD) >= 3:
+        while len(_HELD) >= 2:
             _HELD.pop(next(iter(_HELD)))
         _HELD[key] = make()
     return _HELD[key]
@@ -99,7 +99,7 @@ def once(key: str, make: Callable[[], object]) -> object:
 class Memory(dict):
     """What a worker has worked out for recurring keys, bounded: when the newer half is full, the older is dropped."""
 
-    def __init__(self, work: Callable[[str], bytes], size: int = 1_200_000) -> None:
+    def __init__(self, work: Callable[[str], bytes], size: int = 900_000) -> None:
         super().__init__()
         self.work, self.half, self.old = work, size // 2, {}
 
@@ -120,7 +120,7 @@ class Memory(dict):
 class Sums:
     """Rows of numbers worked out for recurring keys, many keys at once; a bounded number of them is kept."""
 
-    def __init__(self, work: Callable[[list[bytes]], np.ndarray], width: int, size: int = 400_000) -> None:
+    def __init__(self, work: Callable[[list[bytes]], np.ndarray], width: int, size: int = 300_000) -> None:
         self.work, self.size, self.place, self.table = work, size, {}, np.zeros((size, width), np.float32)
 
     def of(self, keys: list[bytes]) -> np.ndarray:

@@ -74,8 +74,8 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     """docs with their words parsed: doc_id, n_words, n_removed, kept (binary: kept words joined by spaces), kept_sha256."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid"), F.hash("text").alias("v"), F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("size"), F.col("text").cast("binary").alias("text"))
     classes = rows.groupBy("th", "size").agg(F.count(F.lit(1)).alias("copies"), F.min("kid").alias("kid"), F.first("v").alias("v"))
-    # one row of each text; its key is the least doc_id's, so that a hot text is no hot key
-    base = rows.select("kid", "v", "th", "text").join(classes.select("kid", "v"), ["kid", "v"], "left_semi")
+    # one row of each text, with the same columns wherever it is used, so that texts are shuffled once; its key is the least doc_id's, so that a hot text is no hot key
+    base = rows.select("kid", "v", "text").join(classes.select("kid", "v"), ["kid", "v"], "left_semi")
 
     def places(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = Parsed(batch.column("text").to_pylist(), window, seed)
@@ -97,6 +97,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     found = (
         arrow_map(base.select("kid", "v", "text"), places, "anchor long, kid long, place long")
         .join(index, "anchor").selectExpr("kid", V, AT, "inner")
+        .repartition("kid", "v")  # sets of one place each would only make larger rows before the shuffle
         .groupBy("kid", "v").agg(F.collect_set(F.when(F.col("inner"), F.col("at"))).alias("inner"), F.collect_set(F.when(~F.col("inner"), F.col("at"))).alias("edge"))
     )
     parsed = base.join(found, ["kid", "v"], "left")
@@ -113,7 +114,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
 
     checked = arrow_map(parsed.filter(F.size("edge") > 0).select("kid", "v", "text", "edge"), edges, "kid long, place long, h1 long, h2 int")
     repeats = checked.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    hits = checked.join(repeats, ["h1", "h2"], "left_semi").selectExpr("kid", V, AT).groupBy("kid", "v").agg(F.collect_set("at").alias("hits"))
+    hits = checked.join(repeats, ["h1", "h2"], "left_semi").selectExpr("kid", V, AT).repartition("kid", "v").groupBy("kid", "v").agg(F.collect_set("at").alias("hits"))
 
     def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = Parsed(batch.column("text").to_pylist(), window, seed)
@@ -132,7 +133,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         return pa.record_batch([batch.column("th"), pa.array([-1 if w is None else len(w) for w in batch.column("text").to_pylist()], pa.int32()), pa.array(p.counts), pa.array(removed), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])], ["th", "size", "n_words", "n_removed", "kept", "kept_sha256"])
 
     # rows that agree in doc_id and text come once per row here; one of them is enough
-    each = arrow_map(parsed.join(hits, ["kid", "v"], "left").select("th", "text", "inner", "hits"), cut_out, "th long, size int, n_words long, n_removed long, kept binary, kept_sha256 string")
+    each = arrow_map(parsed.join(hits, ["kid", "v"], "left").select(F.xxhash64("text").alias("th"), "text", "inner", "hits"), cut_out, "th long, size int, n_words long, n_removed long, kept binary, kept_sha256 string")
     nothing = hashlib.sha256(b"").hexdigest()
     whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
     return (

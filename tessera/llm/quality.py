@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, Sums, arrow_map, lists, mix, once, word_hashes
 
-SAMPLE, BITS, THRESHOLD = 4000, 18, 0.5
+SAMPLE, BITS, THRESHOLD = 2000, 18, 0.5
 DIMENSIONS = 1 << BITS
 MIN_WORDS, MAX_REPEATED = 10, 20
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))

@@ -6,8 +6,9 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def partition_rows(df: DataFrame) -> DataFrame:
@@ -38,6 +39,29 @@ def timed(make: Callable[[], DataFrame], runs: int = 3) -> list[float]:
     return out
 
 
+def stage_balance(spark: SparkSession, event_log: str) -> DataFrame:
+    """Of each stage in an event log: stage, tasks, run_s, largest_s, imbalance (the longest task over the mean) and busy (the
+    share of the tasks' run time that was CPU time)."""
+    metrics = T.StructType([T.StructField("Executor Run Time", T.LongType()), T.StructField("Executor CPU Time", T.LongType())])
+    schema = T.StructType([T.StructField("Event", T.StringType()), T.StructField("Stage ID", T.LongType()), T.StructField("Task Metrics", metrics)])
+    ends = spark.read.schema(schema).json(event_log).filter("Event = 'SparkListenerTaskEnd' AND `Task Metrics` IS NOT NULL")
+    task = ends.select(F.col("Stage ID").alias("stage"), (F.col("Task Metrics")["Executor Run Time"] / 1e3).alias("run"), (F.col("Task Metrics")["Executor CPU Time"] / 1e9).alias("cpu"))
+    each = task.groupBy("stage").agg(F.count(F.lit(1)).alias("tasks"), F.sum("run").alias("run_s"), F.max("run").alias("largest_s"), F.sum("cpu").alias("cpu_s"))
+    some = F.col("run_s") > 0
+    return each.select("stage", "tasks", "run_s", "largest_s", F.when(some, F.col("largest_s") * F.col("tasks") / F.col("run_s")).otherwise(1.0).alias("imbalance"), F.when(some, F.least(F.col("cpu_s") / F.col("run_s"), F.lit(1.0))).otherwise(1.0).alias("busy"))
+
+
+def report(seconds: dict[str, dict[str, float]]) -> str:
+    """A Markdown table of times by query (rows) and variant (columns), each relative to the first variant too."""
+    variants = list(dict.fromkeys(v for own in seconds.values() for v in own))
+    out = ["| query | " + " | ".join(variants) + " |", "|---" * (len(variants) + 1) + "|"]
+    for query, own in seconds.items():
+        base = own.get(variants[0])
+        cells = [f"{own[v]:.2f} ({own[v] / base:.2f})" if v in own and base else f"{own[v]:.2f}" if v in own else "" for v in variants]
+        out.append(f"| {query} | " + " | ".join(cells) + " |")
+    return "\n".join(out)
+
+
 def plan_text(df: DataFrame) -> str:
     """The formatted physical plan."""
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))

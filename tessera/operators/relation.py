@@ -81,5 +81,10 @@ class Rel:
         df.createOrReplaceTempView(name)
         return Rel(df)
 
+    def show(self, n: int = 5) -> None:
+        """Prints the number of rows and the first few."""
+        print(self.df.count())
+        self.df.show(n, truncate=False)
+
     def result(self) -> DataFrame:
         return self.df

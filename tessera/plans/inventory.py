@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +33,7 @@ def _add(name: str, sql: str | None) -> Callable[[Query], Query]:
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder in the place that the session's executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{where.rstrip('/')}/{name}-{next(tempfile._get_candidate_names())}" if where else "file://" + tempfile.mkdtemp(prefix=f"{name}-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}" if where else "file://" + tempfile.mkdtemp(prefix=f"{name}-")
 
 
 # scans, sources, sinks

@@ -179,6 +179,18 @@ def test_profile(spark, tmp_path):
     assert (tmp_path / "log").read_text() == '{"q": 1}\n'
 
 
+def test_event_log(spark, tmp_path):
+    end = '{"Event":"SparkListenerTaskEnd","Stage ID":%d,"Task Metrics":{"Executor Run Time":%d,"Executor CPU Time":%d}}'
+    log = tmp_path / "log"
+    log.write_text("\n".join(['{"Event":"SparkListenerLogStart"}', end % (3, 1000, 5 * 10**8), end % (3, 3000, 15 * 10**8), '{"Event":"SparkListenerTaskEnd","Stage ID":4}']))
+    assert [tuple(r) for r in profile.stage_balance(spark, str(log)).collect()] == [(3, 2, 4.0, 3.0, 1.5, 0.5)]
+
+
+def test_report():
+    text = profile.report({"q1": {"plain": 2.0, "salted": 1.0}, "q2": {"plain": 1.0}})
+    assert text.splitlines()[2:] == ["| q1 | 2.00 (1.00) | 1.00 (0.50) |", "| q2 | 1.00 (1.00) |  |"]
+
+
 def test_stream(spark, tmp_path):
     from tessera.streaming import incremental
 

@@ -174,8 +174,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, limit: int = TRAIN_
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # only the first few of each partition are sent
     chosen = ids.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).select("doc_id", F.col("lang").alias("language"))
 
+    each = max(10, -(-4 * limit // (per_language * max(1, chosen.select("language").distinct().count()))))  # spans of a document that reach the driver
+
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column("doc_id"), batch.column("language"), pa.array([sorted(set(spans(t)), key=lambda s: zlib.crc32(s))[:1000] for t in batch.column("text").to_pylist()], pa.list_(pa.binary()))], ["doc_id", "language", "spans"])
+        return pa.record_batch([batch.column("doc_id"), batch.column("language"), pa.array([sorted(set(spans(t)), key=lambda s: zlib.crc32(s))[:each] for t in batch.column("text").to_pylist()], pa.list_(pa.binary()))], ["doc_id", "language", "spans"])
 
     texts = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")  # per_language ids of each language
     rows = sorted(((r["doc_id"], r["language"], r["spans"]) for r in arrow_map(texts, cut, "doc_id long, language string, spans array<binary>").collect()), key=lambda r: r[:2])

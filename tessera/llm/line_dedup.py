@@ -83,7 +83,8 @@ def marked(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         return pa.record_batch([key("kid"), key("th"), pa.array(line, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["kid", "th", "line", "h1", "h2"])
 
     found = cut(arrow_map(keyed(docs).select("kid", "th", "text"), leaves, "kid long, th long, line int, h1 long, h2 long"))
-    common = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("kid", "th", "line")).alias("first")).filter(F.col("n") >= min_docs).select("h1", "h2", "first")
+    # cut, so that the join's sides are shuffled for it alone: only then does AQE split a hot template
+    common = cut(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("kid", "th", "line")).alias("first")).filter(F.col("n") >= min_docs).select("h1", "h2", "first"))
     is_first = (F.col("kid") == F.col("first.kid")) & (F.col("th") == F.col("first.th"))
     marks = found.join(common, ["h1", "h2"]).groupBy("kid", "th").agg(F.collect_set(F.struct("h1", "h2", F.when(is_first, F.col("first.line")).otherwise(F.lit(-1)).alias("stays"))).alias("marks"))
     marks = marks.select("kid", "th", F.transform("marks", lambda m: m["h1"]).alias("m1"), F.transform("marks", lambda m: m["h2"]).alias("m2"), F.transform("marks", lambda m: m["stays"]).alias("stays"))

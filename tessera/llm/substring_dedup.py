@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, Rolling, arrow_map, mix, signed, word_hashes
@@ -34,6 +34,12 @@ WINDOW, SEED, LEAST = 35, 20, 4
 V, AT = "CAST(shiftright(place, 32) AS INT) AS v", "CAST(place & 4294967295 AS INT) AS at"
 
 
+def _apart(key: str) -> Column:
+    """The key under another value, so that a join on it shuffles both its sides for itself: a side that a grouping had
+    partitioned already would be taken as it is, and then AQE couldn't split a hot key."""
+    return F.col(key).bitwiseXOR(F.lit(1).cast("long")).alias(key)
+
+
 class Parsed:
     """The words of some documents on one axis, and the anchor of each window."""
 
@@ -82,7 +88,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         at = np.unique(p.anchor)
         doc = p.doc[at]
         col = lambda c: batch.column(c).to_numpy()[doc]
-        return pa.record_batch([pa.array(signed(p.grams[at])), pa.array(col("kid")), pa.array(col("v").astype(np.int64) << 32 | (at - p.starts[doc]))], ["anchor", "kid", "place"])
+        return pa.record_batch([pa.array(signed(p.grams[at] ^ np.uint64(1))), pa.array(col("kid")), pa.array(col("v").astype(np.int64) << 32 | (at - p.starts[doc]))], ["anchor", "kid", "place"])
 
     def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = Parsed(batch.column("text").to_pylist(), window, seed)
@@ -92,7 +98,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     index = (
         arrow_map(base.select("text"), contexts, "anchor long, context long")
         .groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
-        .filter("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("inner"))
+        .filter("n > 1").select(_apart("anchor"), (F.col("low") == F.col("high")).alias("inner"))
     )
     found = (
         arrow_map(base.select("kid", "v", "text"), places, "anchor long, kid long, place long")
@@ -113,8 +119,8 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         return pa.record_batch([pa.array(col("kid")), pa.array(col("v").astype(np.int64) << 32 | (begin - p.starts[doc])), pa.array(signed(p.roll.range(begin, begin + window))), pa.array((signed(other.range(begin, begin + window)) >> 32).astype(np.int32))], ["kid", "place", "h1", "h2"])
 
     checked = arrow_map(parsed.filter(F.size("edge") > 0).select("kid", "v", "text", "edge"), edges, "kid long, place long, h1 long, h2 int")
-    repeats = checked.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    hits = checked.join(repeats, ["h1", "h2"], "left_semi").selectExpr("kid", V, AT).repartition("kid", "v").groupBy("kid", "v").agg(F.collect_set("at").alias("hits"))
+    repeats = checked.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(_apart("h1"), "h2")
+    hits = checked.withColumn("h1", _apart("h1")).join(repeats, ["h1", "h2"], "left_semi").selectExpr("kid", V, AT).repartition("kid", "v").groupBy("kid", "v").agg(F.collect_set("at").alias("hits"))
 
     def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = Parsed(batch.column("text").to_pylist(), window, seed)

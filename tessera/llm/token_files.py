@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, Memory, cut, once, shared_dir, steps
 
-END, FIRST, SHARD_BYTES = 2, 50257, 20 << 20
+END, FIRST, SHARD_BYTES = 2, 50257, 12 << 20
 ROUNDS, PER_ROUND, LEAST, SLOTS = 2, 7500, 8, 18
 _SAFE, _GAP = re.compile(r"(?= \S)"), re.compile(r"\s\s")
 

@@ -1,15 +1,15 @@
 """Token-id files by Re-Pair grammar compression.
 
 Documents are range-partitioned by doc_id; each task encodes its documents, appends the end id, and writes shards of a
-bounded number of ids. A shard's ids are compressed by Re-Pair: the most frequent pairs of neighbouring symbols within
-parts (the text cut before spaces) get nonterminals, in rounds, each of which replaces many pairs that don't overlap. A shard stores its rules and
-the length of each rule's expansion, and for each document where its symbols start; so one document, or any range of
+bounded number of ids. A shard's ids are compressed by Re-Pair: frequent pairs of neighbouring symbols of a document get
+nonterminals, in rounds, each of which replaces many pairs that don't overlap, until no pair has LEAST places in the shard. Equal texts
+of a shard are compressed once, with the weight of their number. A shard stores its rules and the length of each rule's expansion, and for each document where its symbols start; so one document, or any range of
 its ids, is decoded without the others.
 
-A file, little-endian: magic TSRA, version, width of a symbol in bytes, end id, first nonterminal, and the counts of rules,
+A file, little-endian: magic TSRA, version, width of a symbol in bits (16 at least), end id, first nonterminal, and the counts of rules,
 documents and symbols (8 unsigned 32-bit integers); rules (pairs of unsigned 32-bit integers), their expansion lengths
 (unsigned 32-bit), doc_ids (64-bit; a null is the least integer), documents' ids with the end id (unsigned 32-bit),
-documents' first symbols (unsigned 32-bit), symbols.
+documents' first symbols (unsigned 32-bit), symbols (their low 16 bits, then a plane of one bit a symbol for each further bit).
 
 A file is written under a name of its task's attempt and then renamed, so a task that runs again leaves the same file.
 
@@ -39,7 +39,9 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, Memory, cut, once, shared_dir, steps
 
 END, FIRST, SHARD_BYTES = 2, 50257, 12 << 20
-ROUNDS, PER_ROUND, LEAST, SLOTS = 2, 7500, 8, 18
+LEAST = 8
+#: Rules of longer expansions aren't held expanded.
+SHORT = 64
 _SAFE, _GAP = re.compile(r"(?= \S)"), re.compile(r"\s\s")
 
 
@@ -114,82 +116,135 @@ class Grammar:
     starts: np.ndarray
 
     def pool(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All expansions, one after the other: where each symbol's begins, how long it is, the ids."""
+        """All short expansions, one after the other: where each symbol's begins, how long it is, the ids."""
         size = np.concatenate((np.ones(self.first, np.int64), self.lengths.astype(np.int64)))
-        begin = np.concatenate(([0], np.cumsum(size)))
-        ids = np.zeros(begin[-1], np.uint32)
-        ids[: self.first] = np.arange(self.first)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            at = begin[self.first + k]
-            ids[at : at + size[a]] = ids[begin[a] : begin[a] + size[a]]
-            ids[at + size[a] : at + size[a] + size[b]] = ids[begin[b] : begin[b] + size[b]]
-        return begin, size, ids
+        held = np.where(size > SHORT, 0, size)
+        return np.cumsum(held) - held, size, self.opened(np.flatnonzero(held), size, 1).astype(np.uint32)
+
+    def opened(self, symbols: np.ndarray, size: np.ndarray, longest: int) -> np.ndarray:
+        """symbols, with rules in place of those that expand to more than longest ids."""
+        large = size[symbols] > longest
+        if not large.any():
+            return symbols
+        sym, pos = symbols[large].astype(np.int64), (np.cumsum(size[symbols]) - size[symbols])[large]
+        top, leaves = np.arange(len(sym)), []
+        while len(sym):
+            left, right = self.rules[sym - self.first].astype(np.int64).T
+            sym, pos, top = np.concatenate((left, right)), np.concatenate((pos, pos + size[left])), np.concatenate((top, top))
+            leaf = size[sym] <= longest
+            leaves.append((sym[leaf], pos[leaf], top[leaf]))
+            sym, pos, top = sym[~leaf], pos[~leaf], top[~leaf]
+        sym, pos, top = (np.concatenate(x) for x in zip(*leaves))
+        n = np.ones(len(symbols), np.int64)
+        n[large] = np.bincount(top)
+        out = np.repeat(symbols, n)
+        out[np.repeat(large, n)] = sym[np.argsort(pos)]
+        return out
 
     def expand(self, symbols: np.ndarray, pool: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """The ids that symbols stand for."""
         begin, size, ids = pool or self.pool()
-        return _gather(ids, begin, size, symbols)
+        return _gather(ids, begin, size, self.opened(symbols, size, SHORT))
 
 
-def repair(ids: np.ndarray, starts: np.ndarray, first: int = FIRST, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST, weights: np.ndarray | None = None) -> Grammar:
+def repair(ids: np.ndarray, starts: np.ndarray, first: int = FIRST, rounds: int | None = None, per_round: int | None = None, least: int = LEAST, weights: np.ndarray | None = None) -> Grammar:
     """Re-Pair over documents that begin at starts (ascending, the first 0); pairs never cross documents. weights: how often
-    each document counts.
+    each document counts. rounds, per_round: at most so many rounds, and rules a round.
 
-    A round counts all pairs, takes the per_round most frequent of at least `least` places, and replaces each place whose
-    pair is more frequent than the pairs it overlaps.
+    A round counts all pairs, and replaces each place whose pair is more frequent than the pairs it overlaps if `least` of the
+    pair's places are such; the most frequent pair's always are, so rounds end when no pair has `least` places.
     """
     seq, starts = ids.astype(np.int32), starts.astype(np.int64)
-    rules, lengths = [], []
-    for _ in range(rounds):
-        if len(seq) < 2:
+    weight = None if weights is None or (weights == 1).all() else np.repeat(weights.astype(np.int32), np.diff(np.append(starts, len(seq))))
+    rules, lengths, done, none = [], np.zeros(0, np.int64), 0, np.iinfo(np.int32).max
+    live = np.ones(len(seq), bool)  # where pairs begin that may have `least` places; without a new symbol a pair doesn't gain any
+    while len(seq) > 1 and (rounds is None or done < rounds):
+        done += 1
+        live[-1] = False
+        live[starts[starts > 0] - 1] = False
+        place, twin = _pairs(seq, live)
+        pair, place = _ordered(seq, place, first + len(lengths))
+        if not len(pair):
             break
-        key = seq[:-1].astype(np.int64) << 20 | seq[1:]
-        key[starts[(starts > 0) & (starts < len(seq))] - 1] = -1
-        order = None if weights is None else np.argsort(key)
-        ordered = np.sort(key) if weights is None else key[order]
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        count = np.diff(np.append(edge, len(ordered))) if weights is None else np.add.reduceat(np.repeat(weights, np.diff(np.append(starts, len(seq))))[:-1][order], edge)
-        pair = ordered[edge]
-        good = (count >= least) & (pair >= 0)
-        count, pair = count[good], pair[good]
-        order = np.lexsort((pair, -count))[: min(per_round, (1 << 16) - first - len(rules)) if first < 1 << 16 else per_round]
-        chosen = pair[order]
-        if not len(chosen):
+        edge = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        many = np.diff(np.append(edge, len(pair)))
+        count, pair = many if weight is None else np.add.reduceat(weight[place], edge, dtype=np.int64), pair[edge]
+        live[place] = np.repeat(count >= least, many)
+        live[twin] = live[twin - 1]
+        best = np.flatnonzero(count >= least)
+        best = best[np.argsort(-count[best], kind="stable")][:per_round]
+        if not len(best):
             break
-        slot = lambda k: ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
-        table = np.full(1 << SLOTS, len(chosen), np.int32)
-        table[slot(chosen[::-1])] = np.arange(len(chosen), dtype=np.int32)[::-1]  # of pairs that meet in a slot the most frequent stays
-        rank = table[slot(key)]
-        at = np.flatnonzero(rank < len(chosen))
-        rank[at[chosen[rank[at]] != key[at]]] = len(chosen)
-        take = rank < len(chosen)
-        take[1:] &= rank[1:] < rank[:-1]
-        take[:-1] &= rank[:-1] <= rank[1:]
-        at = np.flatnonzero(take)
-        used = np.bincount(rank[at], minlength=len(chosen)) > 0
-        new, name = first + len(rules), (np.cumsum(used) - 1)[rank[at]]
-        for k in chosen[used].tolist():
-            a, b = k >> 20, k & (1 << 20) - 1
-            rules.append((a, b))
-            lengths.append(sum(1 if s < first else lengths[s - first] for s in (a, b)))
-        seq[at] = new + name
+        rank = np.full(len(pair), none, np.int32)
+        rank[best] = np.arange(len(best), dtype=np.int32)
+        ranks = np.full(len(seq) + 2, none, np.int32)
+        ranks[place + 1] = np.repeat(rank, many)
+        at = np.flatnonzero((ranks[1:-1] < ranks[:-2]) & (ranks[1:-1] < ranks[2:]))
+        rank = ranks[at + 1]
+        used = np.bincount(rank, None if weight is None else weight[at], len(best)) >= least
+        at, rank = at[used[rank]], rank[used[rank]]
+        new = np.stack((pair[best[used]] >> 32, pair[best[used]] & 0xFFFFFFFF), 1)
+        seq[at] = first + len(lengths) + (np.cumsum(used) - 1)[rank]
+        rules.append(new)
+        lengths = np.append(lengths, np.where(new < first, 1, np.append(lengths, 1)[np.maximum(new - first, -1)]).sum(1))
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         starts = starts - np.searchsorted(at + 1, starts)
-        seq = seq[keep]
-    return Grammar(first, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.uint32), seq.astype(np.uint32), starts)
-
-
-def repair_parts(parts: list[bytes], at: np.ndarray, counts: np.ndarray, first: int) -> tuple[Grammar, np.ndarray]:
-    """Re-Pair over documents given as by Encoder.cut, and the number of ids of each document. A part's pairs are counted
-    and replaced once, with the weight of its places; pairs never cross parts."""
+        seq, live = seq[keep], live[keep]
+        weight = None if weight is None else weight[keep]
+        at = at - np.arange(len(at))
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
+    rules = np.concatenate(rules) if rules else np.zeros((0, 2))
+    return Grammar(first, rules.astype(np.uint32), lengths.astype(np.uint32), seq.astype(np.uint32), starts)
+
+
+def _pairs(seq: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of live pairs; and those left out, because in a run of one symbol every second pair overlaps the one before."""
+    place = np.flatnonzero(live).astype(np.int32)
+    left, right = seq[place], seq[place + 1]
+    twin = np.flatnonzero((left[1:] == left[:-1]) & (right[1:] == right[:-1]) & (left[1:] == right[1:]) & (np.diff(place) == 1)) + 1
+    edge = np.flatnonzero(np.diff(twin, prepend=-9) != 1)
+    twin = twin[(np.arange(len(twin)) - np.repeat(edge, np.diff(np.append(edge, len(twin))))) % 2 == 0]
+    return np.delete(place, twin), place[twin]
+
+
+def _ordered(seq: np.ndarray, place: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs at places (left << 32 | right) in ascending order, and their places, ascending within a pair."""
+    bits, room = symbols.bit_length(), len(seq).bit_length()
+    if 2 * bits + room > 63:
+        pair = seq[place].astype(np.int64) << 32 | seq[place + 1]
+        order = np.argsort(pair, kind="stable")
+        return pair[order], place[order]
+    packed = seq[place].astype(np.int64)  # pair and place in one number: sorted much faster than by an index
+    packed <<= bits
+    packed |= seq[place + 1]
+    packed <<= room
+    packed |= place
+    packed.sort()
+    place = (packed & (1 << room) - 1).astype(np.int32)
+    packed >>= room
+    right = packed & (1 << bits) - 1
+    packed >>= bits
+    packed <<= 32
+    packed |= right
+    return packed, place
+
+
+def repair_texts(texts: list[str | None], encoder: Encoder, first: int) -> tuple[Grammar, np.ndarray]:
+    """Re-Pair over the texts' ids, and the number of ids of each text. Equal texts are encoded and compressed once, with
+    the weight of their number."""
+    number: dict[str | None, int] = {}
+    at = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
+    parts, place, counts = encoder.cut(list(number))
     size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    g = repair(np.frombuffer(b"".join(parts), np.uint32), np.cumsum(size) - size, first, weights=np.bincount(at, minlength=len(parts)))
-    width = np.diff(np.append(g.starts, len(g.symbols)))
-    symbols = _gather(g.symbols, g.starts, width, at)
     edge = np.concatenate(([0], np.cumsum(counts)))
-    per, ids = (np.diff(np.concatenate(([0], np.cumsum(x[at])))[edge]) for x in (width, size))
-    return Grammar(first, g.rules, g.lengths, symbols, np.cumsum(per) - per), ids
+    sizes = np.diff(np.concatenate(([0], np.cumsum(size[place])))[edge])
+    ids = _gather(np.frombuffer(b"".join(parts), np.uint32), np.cumsum(size) - size, size, place)
+    del parts, place
+    g = repair(ids, np.cumsum(sizes) - sizes, first, weights=np.bincount(at))
+    width = np.diff(np.append(g.starts, len(g.symbols)))
+    return Grammar(first, g.rules, g.lengths, _gather(g.symbols, g.starts, width, at), np.cumsum(width[at]) - width[at]), sizes[at]
 
 
 def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -207,9 +262,10 @@ def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarra
 
 def to_bytes(g: Grammar, doc_ids: np.ndarray, sizes: np.ndarray, end: int = END) -> bytes:
     """The content of a file."""
-    width = 2 if g.first + len(g.rules) <= 1 << 16 else 4
-    head = np.array([int.from_bytes(b"TSRA", "little"), 1, width, end, g.first, len(g.rules), len(doc_ids), len(g.symbols)], "<u4")
-    return b"".join(x.tobytes() for x in (head, g.rules.astype("<u4"), g.lengths.astype("<u4"), doc_ids.astype("<i8"), sizes.astype("<u4"), g.starts.astype("<u4"), g.symbols.astype(f"<u{width}")))
+    width = max(16, (g.first + len(g.rules) - 1).bit_length())
+    planes = [np.packbits(g.symbols >> k & 1, bitorder="little") for k in range(16, width)]
+    head = np.array([int.from_bytes(b"TSRA", "little"), 2, width, end, g.first, len(g.rules), len(doc_ids), len(g.symbols)], "<u4")
+    return b"".join(x.tobytes() for x in (head, g.rules.astype("<u4"), g.lengths.astype("<u4"), doc_ids.astype("<i8"), sizes.astype("<u4"), g.starts.astype("<u4"), g.symbols.astype("<u2"), *planes))
 
 
 class Reader:
@@ -217,7 +273,7 @@ class Reader:
 
     def __init__(self, data: bytes) -> None:
         magic, version, width, self.end, first, rules, docs, symbols = np.frombuffer(data, "<u4", 8).tolist()
-        if magic != int.from_bytes(b"TSRA", "little") or version != 1:
+        if magic != int.from_bytes(b"TSRA", "little") or version != 2:
             raise ValueError("not a token file")
         at = 32
 
@@ -229,7 +285,10 @@ class Reader:
 
         pairs, lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules)
         self.doc_ids, self.sizes, starts = take("<i8", docs), take("<u4", docs), take("<u4", docs)
-        self.grammar = Grammar(first, pairs, lengths, take(f"<u{width}", symbols), starts)
+        wide = take("<u2", symbols).astype(np.uint32)
+        for k in range(16, width):
+            wide |= np.unpackbits(take("u1", (symbols + 7) // 8), count=symbols, bitorder="little").astype(np.uint32) << np.uint32(k)
+        self.grammar = Grammar(first, pairs, lengths, wide, starts)
         self.pool = self.grammar.pool()
         self.bounds = np.append(starts, symbols).astype(np.int64)
 
@@ -272,7 +331,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end: int = END) -> D
 
         def flush() -> pa.RecordBatch:
             nonlocal texts, keys, total, piece
-            g, sizes = repair_parts(*encoder.cut(texts), size)
+            g, sizes = repair_texts(texts, encoder, size)
             name = f"{folder}/ids-{task.partitionId():07d}-{piece:05d}.tsra"
             with store.open_output_stream(f"{name}.{task.taskAttemptId()}") as f:
                 f.write(to_bytes(g, np.array(keys, np.int64), sizes + 1, end))

@@ -30,10 +30,6 @@ from .common import NULL_ID, Rolling, arrow_map, mix, signed, word_hashes
 WINDOW, SEED, LEAST = 35, 20, 4
 
 
-#: A place in a text, and the text's short hash, are sent as one long.
-V, AT = "CAST(shiftright(place, 32) AS INT) AS v", "CAST(place & 4294967295 AS INT) AS at"
-
-
 def _apart(key: str) -> Column:
     """The key under another value, so that a join on it shuffles both its sides for itself: a side that a grouping had
     partitioned already would be taken as it is, and then AQE couldn't split a hot key."""
@@ -78,17 +74,17 @@ def _context(p: Parsed, at: np.ndarray, window: int, seed: int) -> np.ndarray:
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """docs with their words parsed: doc_id, n_words, n_removed, kept (binary: kept words joined by spaces), kept_sha256."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid"), F.hash("text").alias("v"), F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("size"), F.col("text").cast("binary").alias("text"))
-    classes = rows.groupBy("th", "size").agg(F.count(F.lit(1)).alias("copies"), F.min("kid").alias("kid"), F.first("v").alias("v"))
-    # one row of each text, with the same columns wherever it is used, so that texts are shuffled once; its key is the least doc_id's, so that a hot text is no hot key
-    base = rows.select("kid", "v", "text").join(classes.select("kid", "v"), ["kid", "v"], "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid"), F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("size"), F.col("text").cast("binary").alias("text"))
+    classes = rows.groupBy("th", "size").agg(F.count(F.lit(1)).alias("copies"), F.min("kid").alias("kid"))
+    # one row of each text, keyed by kid and th, since many texts can share a doc_id (or have none), with the same columns wherever it is used, so that texts are shuffled once; its key is the least doc_id's, so that a hot text is no hot key
+    base = rows.select("kid", "th", "text").join(classes.select("kid", "th"), ["kid", "th"], "left_semi")
 
     def places(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = Parsed(batch.column("text").to_pylist(), window, seed)
         at = np.unique(p.anchor)
         doc = p.doc[at]
         col = lambda c: batch.column(c).to_numpy()[doc]
-        return pa.record_batch([pa.array(signed(p.grams[at] ^ np.uint64(1))), pa.array(col("kid")), pa.array(col("v").astype(np.int64) << 32 | (at - p.starts[doc]))], ["anchor", "kid", "place"])
+        return pa.record_batch([pa.array(signed(p.grams[at] ^ np.uint64(1))), pa.array(col("kid")), pa.array(col("th")), pa.array((at - p.starts[doc]).astype(np.int32))], ["anchor", "kid", "th", "at"])
 
     def contexts(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = Parsed(batch.column("text").to_pylist(), window, seed)
@@ -101,12 +97,12 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         .filter("n > 1").select(_apart("anchor"), (F.col("low") == F.col("high")).alias("inner"))
     )
     found = (
-        arrow_map(base.select("kid", "v", "text"), places, "anchor long, kid long, place long")
-        .join(index, "anchor").selectExpr("kid", V, AT, "inner")
-        .repartition("kid", "v")  # sets of one place each would only make larger rows before the shuffle
-        .groupBy("kid", "v").agg(F.collect_set(F.when(F.col("inner"), F.col("at"))).alias("inner"), F.collect_set(F.when(~F.col("inner"), F.col("at"))).alias("edge"))
+        arrow_map(base.select("kid", "th", "text"), places, "anchor long, kid long, th long, at int")
+        .join(index, "anchor").select("kid", "th", "at", "inner")
+        .repartition("kid", "th")  # sets of one place each would only make larger rows before the shuffle
+        .groupBy("kid", "th").agg(F.collect_set(F.when(F.col("inner"), F.col("at"))).alias("inner"), F.collect_set(F.when(~F.col("inner"), F.col("at"))).alias("edge"))
     )
-    parsed = base.join(found, ["kid", "v"], "left")
+    parsed = base.join(found, ["kid", "th"], "left")
 
     def edges(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = Parsed(batch.column("text").to_pylist(), window, seed)
@@ -116,11 +112,11 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         doc = p.doc[begin]
         col = lambda c: batch.column(c).to_numpy()[doc]
         other = Rolling(mix(p.values ^ np.uint64(0xA5A5F00DBEEF1234)), 0xC2B2AE3D27D4EB4F)
-        return pa.record_batch([pa.array(col("kid")), pa.array(col("v").astype(np.int64) << 32 | (begin - p.starts[doc])), pa.array(signed(p.roll.range(begin, begin + window))), pa.array((signed(other.range(begin, begin + window)) >> 32).astype(np.int32))], ["kid", "place", "h1", "h2"])
+        return pa.record_batch([pa.array(col("kid")), pa.array(col("th")), pa.array((begin - p.starts[doc]).astype(np.int32)), pa.array(signed(p.roll.range(begin, begin + window))), pa.array((signed(other.range(begin, begin + window)) >> 32).astype(np.int32))], ["kid", "th", "at", "h1", "h2"])
 
-    checked = arrow_map(parsed.filter(F.size("edge") > 0).select("kid", "v", "text", "edge"), edges, "kid long, place long, h1 long, h2 int")
+    checked = arrow_map(parsed.filter(F.size("edge") > 0).select("kid", "th", "text", "edge"), edges, "kid long, th long, at int, h1 long, h2 int")
     repeats = checked.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(_apart("h1"), "h2")
-    hits = checked.withColumn("h1", _apart("h1")).join(repeats, ["h1", "h2"], "left_semi").selectExpr("kid", V, AT).repartition("kid", "v").groupBy("kid", "v").agg(F.collect_set("at").alias("hits"))
+    hits = checked.withColumn("h1", _apart("h1")).join(repeats, ["h1", "h2"], "left_semi").select("kid", "th", "at").repartition("kid", "th").groupBy("kid", "th").agg(F.collect_set("at").alias("hits"))
 
     def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
         p = Parsed(batch.column("text").to_pylist(), window, seed)
@@ -139,7 +135,7 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
         return pa.record_batch([batch.column("th"), pa.array([-1 if w is None else len(w) for w in batch.column("text").to_pylist()], pa.int32()), pa.array(p.counts), pa.array(removed), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])], ["th", "size", "n_words", "n_removed", "kept", "kept_sha256"])
 
     # rows that agree in doc_id and text come once per row here; one of them is enough
-    each = arrow_map(parsed.join(hits, ["kid", "v"], "left").select(F.xxhash64("text").alias("th"), "text", "inner", "hits"), cut_out, "th long, size int, n_words long, n_removed long, kept binary, kept_sha256 string")
+    each = arrow_map(parsed.join(hits, ["kid", "th"], "left").select("th", "text", "inner", "hits"), cut_out, "th long, size int, n_words long, n_removed long, kept binary, kept_sha256 string")
     nothing = hashlib.sha256(b"").hexdigest()
     whole = (F.col("copies") > 1) & (F.col("n_words") >= window)
     return (

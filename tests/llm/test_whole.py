@@ -6,8 +6,9 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from tessera.llm import token_files
+from tessera.llm import substring_dedup, token_files
 
 
 def most_places(g):
@@ -55,3 +56,13 @@ def test_shards_hold_phrases_and_copies_once():
             assert reader.document(k).tolist() == [*ids, token_files.END]
             assert reader.range(k, 150, 190).tolist() == [*ids, token_files.END][150:190]
     assert reader.document(51).tolist() == [*g.expand(g.rules[0]), token_files.END]
+
+
+def test_texts_of_one_doc_id_whose_short_hashes_agree(spark):
+    """Each text keeps its own places, though 32 bits of hash can't tell the texts apart."""
+    passage, other = " ".join(f"p{i}" for i in range(40)), " ".join(f"q{i}" for i in range(40))
+    many = lambda head, name: spark.range(200_000).select(F.concat(F.lit(head), F.lit(" "), F.col("id").cast("string")).alias(name), F.hash(F.concat(F.lit(head), F.lit(" "), F.col("id").cast("string"))).alias("h"))
+    a, b = many(passage, "a").join(many(other, "b"), "h").select("a", "b").orderBy("a").first()
+    docs = spark.createDataFrame([(None, a), (None, b), (5, f"x {passage} y")], "doc_id long, text string")
+    rows = substring_dedup.duplicate_spans(docs).select("doc_id", "n_words", "n_removed", F.col("kept").cast("string")).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted([(None, 41, 40, a.split()[-1]), (None, 41, 0, b), (5, 42, 40, "x y")], key=repr)

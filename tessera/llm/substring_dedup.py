@@ -1,11 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by a join of windows on anchors, in place of relative Lempel-Ziv parsing.
 
-Every document is parsed against an index of the whole corpus. The index holds a reference block per shuffle partition,
-keyed by anchors: each window of `window` words has one of its `seed`-word runs as anchor, chosen by the window's words
-alone (a mod-minimiser), so every copy of a window finds the same anchor. A factor is a run of windows that the index has elsewhere:
+Every document is held against an index of the whole corpus; it isn't parsed greedily into factors, and no references are
+returned. The index is keyed by anchors: each window of `window` words has one of its `seed`-word runs as anchor, chosen by the window's words
+alone (a mod-minimiser), so every copy of a window finds the same anchor. Of a run of windows that the index has elsewhere:
 
-* inside a factor, an anchor's surroundings are alike at all its places; then all windows on that anchor repeat;
-* at a factor's boundary the surroundings differ between places, and each window there is checked by its own hash.
+* inside the run, an anchor's surroundings are alike at all its places; then all windows on that anchor repeat;
+* at its boundary the surroundings differ between places, and each window there is checked by its own hash.
 
 So every window of the corpus is decided, by its anchor and 96 bits of hash. Texts that are equal as a whole repeat in every
 window; one row of each text is parsed. All counts are partial aggregates; no group of places is gathered, and a hot anchor
@@ -73,7 +73,7 @@ def _context(p: Parsed, at: np.ndarray, window: int, seed: int) -> np.ndarray:
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """docs with their words parsed: doc_id, n_words, n_removed, kept (binary: kept words joined by spaces), kept_sha256."""
+    """docs without the words of repeated windows: doc_id, n_words, n_removed, kept (binary: kept words joined by spaces), kept_sha256."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid"), F.xxhash64("text").alias("th"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("size"), F.col("text").cast("binary").alias("text"))
     classes = rows.groupBy("th", "size").agg(F.count(F.lit(1)).alias("copies"), F.min("kid").alias("kid"))
     # one row of each text, keyed by kid and th, since many texts can share a doc_id (or have none), with the same columns wherever it is used, so that texts are shuffled once; its key is the least doc_id's, so that a hot text is no hot key

@@ -8,7 +8,9 @@ rest of a batch is read in columns of equal length, all spans of a column at onc
 
 Training is in numpy by backpropagation through time (Adam on the mean cross-entropy of all positions), on spans of at
 most PER_LANGUAGE documents of each language: those of least hash of doc_id among the ones whose crc32(doc_id as text)
-mod 4 is not 2. A prediction sees the text alone.
+mod 4 is not 2. Of TRAIN_SPANS spans each language has an equal share, drawn at random from its documents' spans; a
+document gives its distinct spans of least crc32, at most 4 * TRAIN_SPANS / (PER_LANGUAGE * languages) but 10 at least (400
+with four languages). A prediction sees the text alone.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; ties go to the language that sorts first;
 rows with a null lang, doc_id or text don't train; without any training row everything is `und`; repeated rows are

@@ -1,23 +1,27 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
-The encoding of a concatenation is a product of encodings. A text is halved until its parts are small; parts that meet at a
-boundary of the split pattern's matches multiply by concatenation; inside one match, neighbours are joined by encoding a
-window around the seam anew. A token sequence is the encoding of its bytes exactly when each two adjacent tokens, encoded
-alone, stay as they are; so the window grows until both its outer seams hold, and then nothing outside it can change.
-Decoding is the same reduction over the tokens' bytes.
-
-Parts that recur are encoded once: a worker keeps a bounded memory from part to ids, which never
+The encoding of a concatenation is a product of encodings. A text falls into parts where no match of the split pattern can
+span; products there are concatenations, made up a tree. Inside one match, halves are encoded recursively, down to LEAF bytes, and
+neighbours are joined by encoding a window around their seam anew. A token sequence is the encoding of its bytes exactly
+when each two adjacent tokens, encoded alone, stay as they are. So the window grows to the left until its left seam holds,
+and moves to the right, one token at a time, until its right seam holds; then nothing outside it can change. A window holds a few tokens, however
+long the match; windows of more than SMALL bytes are merged with a heap. Decoding
+concatenates the tokens' bytes up the same kind of tree.
+
+Parts that recur are encoded once: a worker keeps a memory from short parts to ids, of bounded number and length, which never
 changes a result.
 
 Defined results: a null or empty text has no ids; strings of special tokens in a text are ordinary text; a match of any
-length is encoded whole; repeated rows give repeated rows; other columns are ignored.
+length is encoded whole (a megabyte of one character in seconds); repeated rows give repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import re
+import zlib
 from array import array
 from functools import lru_cache
 
@@ -29,12 +33,19 @@ from pyspark.sql import functions as F
 
 from .common import Memory, arrow_map, once
 
-#: Bytes of a match that are encoded without halving.
-LEAF = 6
+#: Bytes of a match that are encoded without halving; bytes of a window that are merged without a heap; parts that one node of the tree joins.
+LEAF, SMALL, FAN = 6, 48, 64
 #: A text cut before every space that a non-space follows: no match of the pattern spans such a place.
 _SAFE, _GAP = re.compile(r"(?= \S)"), re.compile(r"\s\s")
 
 
+def up(parts: list[bytes]) -> bytes:
+    """The concatenation of all parts, up a tree."""
+    while len(parts) > 1:
+        parts = [b"".join(parts[i : i + FAN]) for i in range(0, len(parts), FAN)]
+    return parts[0] if parts else b""
+
+
 class Codec:
     """Encodes with one rank file."""
 
@@ -44,12 +55,14 @@ class Codec:
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.parts, self.after = Memory(self.part), Memory(self.after_space)
-        self.leaf, self.held = Memory(self.merge, 200_000), lru_cache(1 << 18)(self._held)
+        self.leaf, self.held = Memory(self.merge, 200_000, 256), lru_cache(1 << 18)(self._held)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a short piece: the adjacent pair of least rank is merged, leftmost first, until none is in the ranks."""
         if piece in self.ranks:
             return [self.ranks[piece]]
+        if len(piece) > SMALL:
+            return self.merge_long(piece)
         units = [piece[i : i + 1] for i in range(len(piece))]
         while len(units) > 1:
             best = min(((r, i) for i in range(len(units) - 1) if (r := self.ranks.get(units[i] + units[i + 1])) is not None), default=None)
@@ -61,18 +74,45 @@ class Codec:
     def _held(self, a: int, b: int) -> bool:
         return self.leaf[self.bytes_of[a] + self.bytes_of[b]] == [a, b]
 
+    def merge_long(self, piece: bytes) -> list[int]:
+        """The same in n log n steps: candidates in a heap, units as a list of starts linked both ways."""
+        n, get = len(piece), self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        gone = bytearray(n + 1)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            if gone[i] or (middle := after[i]) >= n or after[middle] != stop:
+                continue  # one of its units has been merged since
+            gone[middle] = 1
+            after[i] = stop
+            if stop < n:
+                before[stop] = i
+                if (r := get(piece[i : after[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, after[stop]))
+            if i and (r := get(piece[before[i] : stop])) is not None:
+                heapq.heappush(heap, (r, before[i], stop))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[piece[i : after[i]]])
+            i = after[i]
+        return out
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The product of two encodings: the ids of the bytes of left followed by those of right."""
-        if not left or not right or self.held(left[-1], right[0]):
-            return left + right
-        a = b = 1
-        while True:
-            middle = self.reencode(left[len(left) - a :], right[:b])
-            grow_left = a < len(left) and not self.held(left[len(left) - a - 1], middle[0])
-            grow_right = b < len(right) and not self.held(middle[-1], right[b])
-            if not grow_left and not grow_right:
-                return left[: len(left) - a] + middle + right[b:]
-            a, b = min(len(left), 2 * a if grow_left else a), min(len(right), 2 * b if grow_right else b)
+        """The product of two encodings, the ids of the bytes of left followed by those of right; left's list becomes it."""
+        done = 0
+        while left and done < len(right) and not self.held(left[-1], right[done]):
+            size = 1
+            while True:
+                middle = self.reencode(left[-size:], right[done : done + 1])
+                if size >= len(left) or self.held(left[-size - 1], middle[0]):
+                    break
+                size = min(len(left), 2 * size)
+            left[-size:] = middle
+            done += 1
+        left += right[done:]
+        return left
 
     def reencode(self, left: list[int], right: list[int]) -> list[int]:
         return self.leaf[b"".join(map(self.bytes_of.__getitem__, left + right))]
@@ -80,7 +120,7 @@ class Codec:
     def piece(self, data: bytes) -> list[int]:
         """The ids of one match of the pattern: halves are encoded and joined."""
         if len(data) <= LEAF:
-            return self.leaf[data]
+            return [*self.leaf[data]]
         half = len(data) // 2
         return self.join(self.piece(data[:half]), self.piece(data[half:]))
 
@@ -98,16 +138,16 @@ class Codec:
         if not text:
             return b""
         if text[0].isspace() or text[-1].isspace() or _GAP.search(text):
-            return b"".join(self.parts.all(_SAFE.split(text)))
+            return up(self.parts.all(_SAFE.split(text)))
         first, *rest = text.replace("\n", " \n").split(" ")  # with no two spaces of any kind together, each alone is a safe cut
-        return self.part(first) + b"".join(self.after.all(rest))
+        return up([self.part(first), *self.after.all(rest)])
 
     def after_space(self, text: str) -> bytes:
         return self.part(text if text[0] == "\n" else " " + text)
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids given as by encode."""
-        return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
+        return up([*map(self.bytes_of.__getitem__, array("I", ids))])
 
 
 def codec(path: str) -> Codec:
@@ -127,15 +167,16 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode_columns(docs: DataFrame, path: str, names: list[str]) -> DataFrame:
-    """The named columns of docs, and of every text n_tokens and ids (binary: little-endian unsigned 32-bit integers)."""
+    """The named columns of docs, and of every text n_tokens, ids (binary: little-endian unsigned 32-bit integers) and decoded_crc32,
+    the checksum of the bytes that the ids decode to, which is the text's."""
     rows = docs.select(F.struct(*names).alias("kept"), F.col("text").cast("string").alias("text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)
         ids = [c.encode(t) for t in batch.column("text").to_pylist()]
-        return pa.record_batch([batch.column("kept"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["kept", "n_tokens", "ids"])
+        return pa.record_batch([batch.column("kept"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([zlib.crc32(c.decode(x)) for x in ids], pa.int64())], ["kept", "n_tokens", "ids", "decoded_crc32"])
 
-    return arrow_map(rows, run, f"kept {rows.schema['kept'].dataType.simpleString()}, n_tokens long, ids binary").select("kept.*", "n_tokens", "ids")
+    return arrow_map(rows, run, f"kept {rows.schema['kept'].dataType.simpleString()}, n_tokens long, ids binary, decoded_crc32 long").select("kept.*", "n_tokens", "ids", "decoded_crc32")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

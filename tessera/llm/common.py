@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set and all runs on one machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -71,6 +73,12 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
+def apart(key: str) -> Column:
+    """The key (a long) under another value, so that a join on it shuffles both its sides for itself: a side that a grouping had
+    partitioned already would be taken as it is, and then AQE couldn't split a hot key."""
+    return F.col(key).bitwiseXOR(F.lit(1).cast("long")).alias(key)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """XXH64 of every word."""
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
@@ -97,15 +105,18 @@ def once(key: str, make: Callable[[], object]) -> object:
 
 
 class Memory(dict):
-    """What a worker has worked out for recurring keys, bounded: when the newer half is full, the older is dropped."""
+    """What a worker has worked out for recurring keys, bounded: when the newer half is full, the older is dropped, and keys of
+    more than `longest` characters aren't kept."""
 
-    def __init__(self, work: Callable[[str], bytes], size: int = 900_000) -> None:
+    def __init__(self, work: Callable[[str], bytes], size: int = 900_000, longest: int = 64) -> None:
         super().__init__()
-        self.work, self.half, self.old = work, size // 2, {}
+        self.work, self.half, self.longest, self.old = work, size // 2, longest, {}
 
     def __missing__(self, key: str) -> bytes:
         if (found := self.old.get(key)) is None:
             found = self.work(key)
+        if len(key) > self.longest:
+            return found
         if len(self) >= self.half:
             self.old = dict(self)
             self.clear()

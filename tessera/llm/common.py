@@ -129,24 +129,29 @@ class Memory(dict):
 
 
 class Sums:
-    """Rows of numbers worked out for recurring keys, many keys at once; a bounded number of them is kept."""
+    """Rows of numbers worked out for recurring keys, many keys at once; of keys of `longest` bytes at most, the last `size` are kept."""
 
-    def __init__(self, work: Callable[[list[bytes]], np.ndarray], width: int, size: int = 300_000) -> None:
-        self.work, self.size, self.place, self.table = work, size, {}, np.zeros((size, width), np.float32)
+    def __init__(self, work: Callable[[list[bytes]], np.ndarray], width: int, size: int = 300_000, longest: int = 64) -> None:
+        self.work, self.longest, self.place, self.table = work, longest, {}, np.zeros((size, width), np.float32)
+        self.keys, self.next = [None] * size, 0
 
     def of(self, keys: list[bytes]) -> np.ndarray:
         """work(keys), whose rows depend on one key each."""
-        new = list({k for k in keys if k not in self.place})
-        if len(self.place) + len(new) > self.size:
-            self.place, new = {}, list(set(keys))
-        found = self.work(new)
-        if len(new) > self.size:  # more than the table holds
-            place = dict(zip(new, range(len(new))))
-            return found[np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))]
-        start = len(self.place)
-        self.table[start : start + len(new)] = found
-        self.place.update(zip(new, range(start, start + len(new))))
-        return self.table[np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))]
+        different = list(set(keys))
+        at = list(map(self.place.get, different))
+        new = [k for k, p in zip(different, at) if p is None]
+        known = np.array([p is not None for p in at], bool)
+        rows = np.empty((len(different), self.table.shape[1]), np.float32)
+        rows[known] = self.table[[p for p in at if p is not None]]
+        rows[~known] = found = self.work(new)
+        for key, row in zip(new, found):
+            if len(key) <= self.longest:
+                if (old := self.keys[self.next]) is not None:
+                    del self.place[old]
+                self.keys[self.next], self.place[key], self.table[self.next] = key, self.next, row
+                self.next = (self.next + 1) % len(self.keys)
+        place = dict(zip(different, range(len(different))))
+        return rows[np.fromiter(map(place.__getitem__, keys), np.int64, len(keys))]
 
 
 class Powers:

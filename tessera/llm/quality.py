@@ -1,15 +1,18 @@
 """Quality rules: base rules, and a calibrated logistic regression over hashed word and character n-grams.
 
-The model is trained on a bounded sample of labelled rows (SAMPLE documents, those of least hash of doc_id). A document's
-features are the means over its words of a hashed word and of the word's hashed 3- and 4-grams (of the UTF-8 bytes of its
-characters, with marks at both ends); so its logit is a mean of one number for each word, which workers keep for recurring words. A fifth of the sample is held out to
-calibrate: a logistic curve from logit to probability (Platt). Documents are scored in Arrow batches against a fixed
-threshold of the probability.
+A document's features are the mean over its words of the hashed word and of its hashed runs of 3 and 4 characters (code
+points, with marks at both ends of the word), and the mean over its pairs of neighbouring words of the hashed pair. So its
+logit is a mean of one number for each word, which workers keep for recurring short words, and of one weight for each pair.
+
+The model is trained on at most SAMPLE labelled rows: those of least hash of doc_id and text, among the documents of the
+SAMPLE labelled doc_ids of least hash. Of a text of more than EXCERPT bytes, RUNS runs evenly spaced over the whole text are
+read, EXCERPT bytes in all. So at most SAMPLE * EXCERPT bytes (32 MB) reach the driver. A fifth of the sample is held out to calibrate: a logistic curve from
+logit to probability (Platt). Documents are scored whole, in Arrow batches, against a fixed threshold of the probability.
 
 Defined results: a null or empty text has no words and fails; words are runs without ASCII white space; lines are cut at
 newlines and count where they have a word; with no labelled rows of both kinds every probability is 1, so that the base
-rules decide alone; repeated rows are judged alike; rows of labels without a document, or with a null quality, are left
-out; other columns are ignored.
+rules decide alone; repeated rows are judged alike, and train once; documents that share a doc_id share its label; of several labels of a doc_id the
+largest counts; rows of labels without a document, or with a null quality or doc_id, are left out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +21,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Sums, arrow_map, lists, mix, once, word_hashes
+from .common import Rolling, Sums, arrow_map, mix, once, word_hashes
+from .language_id import windows
 
-SAMPLE, BITS, THRESHOLD = 2000, 18, 0.5
+SAMPLE, EXCERPT, RUNS, BITS, THRESHOLD = 2000, 16 << 10, 16, 18, 0.5
 DIMENSIONS = 1 << BITS
 MIN_WORDS, MAX_REPEATED = 10, 20
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -34,27 +37,39 @@ _SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>")).astype(np.int64)
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, feature, weight) of hashed features: each word itself, and the runs of 3 and 4 bytes of `<word>`; a word's runs
+    """(word, feature, weight) of hashed features: each word itself, and the runs of 3 and 4 characters of `<word>`; a word's runs
     weigh 1 together."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    raw = np.frombuffer(b"<" + b"><".join(words) + b">" + bytes(4), np.uint8).astype(np.uint32)
+    written = [w.decode("utf-8", "replace") for w in words]
+    size = np.fromiter(map(len, written), np.int64, len(words))
+    raw = np.frombuffer(("<" + "><".join(written) + ">").encode("utf-32-le"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), size + 2)
     stop = np.cumsum(size + 2)
-    whose, index = [np.arange(len(words))], [(word_hashes(words) >> np.uint64(64 - BITS)).astype(np.int64)]
+    whose, index = [np.arange(len(words))], [_slot(word_hashes(words))]
     with np.errstate(over="ignore"):
-        value = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
+        value = raw[:-2] | raw[1:-1] << np.uint64(21) | raw[2:] << np.uint64(42)
         for n in (3, 4):
-            value = value if n == 3 else value[:-1] | raw[3:] << np.uint32(24)
+            value = value if n == 3 else mix(value[:-1]) + raw[3:]
             at = np.flatnonzero(np.arange(len(owner)) + n <= stop[owner])
             whose.append(owner[at])
-            index.append(((value[at] + np.uint32(n)) * np.uint32(2654435761) >> np.uint32(32 - BITS)).astype(np.int64))
+            index.append(_slot(mix(value[at] + np.uint64(n << 60))))
     whose = np.concatenate(whose)
     share = np.where(np.arange(len(whose)) < len(words), 1.0, 1 / np.maximum(1, 2 * size - 1)[whose])
     return whose, np.concatenate(index), share
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def pairs(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) of each two neighbouring words, given by their hashes."""
+    same = np.flatnonzero(doc[1:] == doc[:-1])
+    with np.errstate(over="ignore"):
+        return doc[same], _slot(mix(hashes[same] * np.uint64(3) + hashes[same + 1]))
+
+
 def base(texts: list[bytes | None]) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of every text, and all words under words."""
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of every text, and of all words: words, hashes, doc."""
     texts = [t or b"" for t in texts]
     words = [t.split() for t in texts]
     n = np.array([len(w) for w in words], np.int64)
@@ -65,7 +80,8 @@ def base(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     lines = [[x for x in t.split(b"\n") if x.strip()] if b"\n" in t else () for t in texts]
     doc = np.repeat(np.arange(len(texts)), n)
     with np.errstate(over="ignore"):
-        grams = Rolling(word_hashes(flat)).grams(5)
+        hashes = word_hashes(flat)
+        grams = Rolling(hashes).grams(5)
         same = doc[: len(grams)] == doc[4:] if len(grams) else np.zeros(0, bool)
         at = np.flatnonzero(same)
         key = mix(grams[at] + doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -76,7 +92,7 @@ def base(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     np.add.at(cover, hit, 1)
     np.add.at(cover, hit + 5, -1)
     repeated = np.bincount(doc, np.cumsum(cover[:-1]) > 0, len(texts)).astype(np.int64)
-    return {"n_words": n, "word_chars": per(_STARTS), "n_symbols": per(_SYMBOLS), "n_dup_lines": np.array([len(x) - len(set(x)) for x in lines], np.int64), "n_repeat_words": repeated, "words": flat, "doc": doc}
+    return {"n_words": n, "word_chars": per(_STARTS), "n_symbols": per(_SYMBOLS), "n_dup_lines": np.array([len(x) - len(set(x)) for x in lines], np.int64), "n_repeat_words": repeated, "words": flat, "hashes": hashes, "doc": doc}
 
 
 class Model:
@@ -109,35 +125,41 @@ def _fit(rows: np.ndarray, index: np.ndarray, value: np.ndarray, label: np.ndarr
     return weights, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from the sample of labelled rows of least hash; the sample is all that reaches the driver."""
-    chosen = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
+    """The training rows: key, quality, excerpt (binary); at most so many."""
+    chosen = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), F.col("text").cast("binary").alias("text"))
 
-    def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        b = base(batch.column("text").to_pylist())
-        whose, index, share = features(b["words"])
-        owner = b["doc"][whose]
-        key, where = np.unique(owner * DIMENSIONS + index, return_inverse=True)
-        value = np.bincount(where, share / b["n_words"][owner], len(key))
-        counts = np.bincount(key // DIMENSIONS, minlength=batch.num_rows)
-        out_i, out_v = lists(key % DIMENSIONS, counts, pa.int32()), lists(value, counts, pa.float64())
-        return pa.record_batch([batch.column("doc_id"), batch.column("quality"), out_i, out_v], ["doc_id", "quality", "index", "value"])
-
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen.withColumn("quality", F.col("quality").cast("int"))), "doc_id")  # at most `sample` ids
-    got = arrow_map(few.select("doc_id", "quality", "text"), vectors, "doc_id long, quality int, index array<int>, value array<double>").toArrow()
-    order = np.lexsort((got["doc_id"].to_numpy(),))
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        few = [t if len(t) <= EXCERPT else windows(t, RUNS, EXCERPT // RUNS) for t in batch.column("text").to_pylist()]
+        return pa.record_batch([batch.column("key"), batch.column("quality"), pa.array(few, pa.binary())], ["key", "quality", "excerpt"])
+
+    few = arrow_map(texts.join(F.broadcast(chosen), "doc_id").select("key", "quality", "text"), cut, "key long, quality int, excerpt binary")  # at most `rows` ids
+    return few.groupBy("key", "quality").agg(F.min("excerpt").alias("excerpt")).orderBy("key", "quality").limit(rows)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
+    """A model from a bounded sample of labelled rows."""
+    got = sample(docs, labels, rows).toArrow()
+    order = np.lexsort((got["key"].to_numpy(),))
     label = got["quality"].to_numpy()[order]
     if not len(label) or label.min() == label.max():
         return Model(np.zeros(DIMENSIONS), 0.0, 0.0, 40.0)
-    got = got.take(order).combine_chunks()
-    index, value = (pc.list_flatten(got[c]).to_numpy() for c in ("index", "value"))
-    rows = np.repeat(np.arange(len(label)), pc.list_value_length(got["index"]).to_numpy())
+    excerpts = got["excerpt"].to_pylist()
+    b = base([excerpts[i] for i in order])
+    whose, index, share = features(b["words"])
+    whose, (owner, pair) = b["doc"][whose], pairs(b["hashes"], b["doc"])
+    n = b["n_words"]
+    # one entry for each document and feature
+    key, where = np.unique(np.concatenate((whose, owner)) * DIMENSIONS + np.concatenate((index, pair)), return_inverse=True)
+    value = np.bincount(where, np.concatenate((share / n[whose], 1 / np.maximum(1, n - 1)[owner])), len(key))
+    row, index = key // DIMENSIONS, key % DIMENSIONS
     held = np.arange(len(label)) % 5 == 0
     if len(set(label[held])) < 2 or len(set(label[~held])) < 2:
         held = np.zeros(len(label), bool)
-    use = ~held[rows]
-    weights, bias = _fit(rows[use], index[use], value[use], np.where(held, 0.5, label) if held.any() else label)
-    z = np.bincount(rows, weights[index] * value, len(label)) + bias
+    use = ~held[row]
+    weights, bias = _fit(row[use], index[use], value[use], np.where(held, 0.5, label) if held.any() else label)
+    z = np.bincount(row, weights[index] * value, len(label)) + bias
     test = held if held.any() else ~held
     slope, shift = _platt(z[test], label[test])
     return Model(weights, bias, slope, shift)
@@ -172,7 +194,8 @@ def judge(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         sums = once(name, lambda: Sums(m.words, 1))
         b = base(batch.column("text").to_pylist())
         n = b["n_words"]
-        means = np.bincount(b["doc"], sums.of(b["words"])[:, 0], len(n)) / np.maximum(1, n)
+        owner, pair = pairs(b["hashes"], b["doc"])
+        means = np.bincount(b["doc"], sums.of(b["words"])[:, 0], len(n)) / np.maximum(1, n) + np.bincount(owner, m.weights[pair], len(n)) / np.maximum(1, n - 1)
         p = m.probability(means)
         failed = (n < MIN_WORDS) | (100 * b["n_repeat_words"] > MAX_REPEATED * n)
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

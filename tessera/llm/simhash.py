@@ -8,8 +8,9 @@ distance 2 in each half; homes and guests are compared per anchor. A pair counts
 in the first half if it differs there in at most one bit, else in the second.
 
 Equal fingerprints are one class before anything is compared, so copies cost nothing; links are kept between classes, and
-no link between different texts is lost. Hot anchors are split by AQE's skew join. Components come from alternating
-large-star and small-star contraction, whose every round is cut by a checkpoint.
+no link between different texts is lost. Hot anchors, and the root of a large component, are split by AQE's skew join: both
+sides of these joins are shuffled for them alone. Components come from alternating large-star and small-star contraction,
+whose every round is cut by a checkpoint.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and is linked like any other; with
 fewer than 3 words the whole sequence is the one shingle; repeated rows are classes' members like all others; a null
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, arrow_map, cut, keyed, signed
+from .common import NULL_ID, apart, arrow_map, cut, keyed, signed
 
 THRESHOLD = 3
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -92,10 +93,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.filter("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        large = both.filter("y > x").select(apart("x"), "y").join(least.select(apart("x"), "m"), "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         # every edge now leads from a larger value to a smaller one
         roots = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(roots, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x != y").union(roots.select("x", F.col("m").alias("y")))
+        small = large.select(apart("x"), "y").join(roots.select(apart("x"), "m"), "x").select(apart("x"), "y", "m").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x != y").union(roots.select("x", F.col("m").alias("y")))
         edges = cut(small.distinct())
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if state == before:
@@ -105,7 +106,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, kid and th (the row key), fp, n_near, component_id."""
+    """One row per document: doc_id, kid and th (the row key), fp, n_near, component_id, and root, the least fp of its component."""
 
     def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column("doc_id"), batch.column("kid"), batch.column("th"), pa.array(signed(fingerprints(batch.column("text").to_pylist())))], ["doc_id", "kid", "th", "fp"])
@@ -114,18 +115,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     classes = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     pairs = cut(linked(classes.select("fp"), threshold))
     both = pairs.union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    around = both.join(classes.select(F.col("fp").alias("y"), "n"), "y").groupBy("x").agg(F.sum("n").alias("others")).withColumnRenamed("x", "fp")
+    around = both.select("x", apart("y")).join(classes.select(F.col("fp").alias("y"), "n").select(apart("y"), "n"), "y").groupBy("x").agg(F.sum("n").alias("others")).withColumnRenamed("x", "fp")
     roots = components(pairs)
     named = classes.join(around, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = named.join(firsts, "root").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id")
-    return rows.join(found, "fp")
+    found = named.withColumn("root", apart("root")).join(firsts.select(apart("root"), "component_id"), "root").select("fp", apart("root"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id")
+    return rows.select("doc_id", "kid", "th", apart("fp")).join(found.select(apart("fp"), "n_near", "component_id", "root"), "fp").select("doc_id", "kid", "th", apart("fp"), "n_near", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """docs with one document of each component: the one of least doc_id, and of its repeated rows one; all columns stay."""
     marked = near_duplicates(docs, threshold)
-    best = marked.groupBy("component_id").agg(F.min(F.struct("kid", "th")).alias("k")).select("k.kid", "k.th").distinct()
+    best = marked.groupBy("root").agg(F.min(F.struct("kid", "th")).alias("k")).select("k.kid", "k.th").distinct()
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid"), F.xxhash64("text").alias("th"))
     one = Window.partitionBy("kid", "th").orderBy(F.lit(1))
     return whole.join(best, ["kid", "th"], "left_semi").withColumn("place", F.row_number().over(one)).filter("place = 1").select("doc.*")

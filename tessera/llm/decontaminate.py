@@ -1,14 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
-The benchmark is a stated query set: it is read in blocks of at most BLOCK_BYTES of text, and every block is held against
-all documents. A document and an item are compared where they share a seed, a run of MIN_MATCH tokens; seeds are found by
+The benchmark is a stated query set: it is read in blocks of at most BLOCK_BYTES of text (or one item), and every block is held against
+all documents. The driver and the workers hold one block at a time: with more than one, what a block gives is written before the next is sent. A document and an item are compared where they share a seed, a run of MIN_MATCH tokens; seeds are found by
 Karp-Rabin hashes in one pass over the document. Then tiles are marked as in greedy string tiling: again and again the
 longest matches of unmarked tokens, each token once, until none of MIN_MATCH tokens is left. An item's coverage is the
 share of its tokens under tiles, in whatever order the document has them; a document is contaminated from COVERAGE of an item
 on. Items of fewer than MIN_MATCH tokens count as one seed of their own length.
 
 Tokens are runs without ASCII white space or ASCII punctuation, in lower case. Candidate seeds that a long document repeats
-are all kept, so matches are complete; a block's seeds are the only thing sent to the workers, and their size is bounded.
+are all kept, so matches are complete.
 
 Defined results: a null or empty text, or one without tokens, is not contaminated (coverage 0, no item); items without
 tokens match nothing; ties in coverage go to the least item_id; a null item_id sorts first; repeated rows are judged alike;
@@ -18,13 +18,15 @@ an empty benchmark leaves every document clean; other columns are ignored.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, arrow_map, word_hashes
+from .common import NULL_ID, Rolling, arrow_map, cut, word_hashes
 
 MIN_MATCH, COVERAGE, BLOCK_BYTES = 5, 0.5, 8 << 20
 _MARKS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -122,27 +124,40 @@ class Block:
         return out
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES, least: int = MIN_MATCH) -> list[Block]:
+def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES, least: int = MIN_MATCH) -> Iterator[Block]:
     """The benchmark in blocks of at most limit bytes (or one item)."""
-    out, own, size = [], [], 0
+    own, size = [], 0
     for row in benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
-        if own and size + len(row["text"]) > limit:
-            out.append(Block(own, least))
+        length = len(row["text"].encode())
+        if own and size + length > limit:
+            yield Block(own, least)
             own, size = [], 0
         own.append((row["item_id"], row["text"]))
-        size += len(row["text"])
-    return [*out, Block(own, least)] if own else out
+        size += length
+    if own:
+        yield Block(own, least)
+
+
+def _against_all(docs: DataFrame, benchmark: DataFrame, against: Callable[[Broadcast], DataFrame]) -> list[DataFrame]:
+    """What against gives for each block in turn (for an empty one, if there is none); of several, each is cut before the next is sent."""
+    rest, out = blocks(benchmark), []
+    block = next(rest, None) or Block([])
+    while block:
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # of bounded size
+        found, block = against(shared), next(rest, None)
+        if out or block:
+            found = cut(found)
+            shared.destroy()
+        out.append(found)
+    return out
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """One row per row of docs: doc_id, th (hash of the text), n_items (items that it shares a seed with), item_id, item_tokens, covered,
     longest (of the item with the largest coverage), coverage, contaminated."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]  # each of bounded size
-    if not shared:
-        shared = [docs.sparkSession.sparkContext.broadcast(Block([]))]
 
-    def against(block):
+    def against(block: Broadcast) -> DataFrame:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             best: dict[int, tuple] = {}
             n = defaultdict(int)
@@ -155,29 +170,36 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE)
 
         return arrow_map(rows, run, "doc_id long, th long, n_items long, item_id long, item_tokens long, covered long, longest long")
 
-    found = against(shared[0])
-    if len(shared) > 1:  # every row comes once for each block; rows that agree in doc_id and text have one place each
-        for block in shared[1:]:
-            found = found.union(against(block))
-        share = F.when(F.col("item_tokens") > 0, F.col("covered") / F.col("item_tokens")).otherwise(0.0)
+    found, *more = _against_all(docs, benchmark, against)
+    share = F.when(F.col("item_tokens") > 0, F.col("covered") / F.col("item_tokens")).otherwise(F.lit(0.0))
+    if more:  # every row comes once for each block; rows that agree in doc_id and text have one place each
+        for one in more:
+            found = found.union(one)
         best = F.max_by(F.struct("item_id", "item_tokens", "covered", "longest"), F.struct(share, -F.coalesce("item_id", F.lit(-(2**62)))))
-        each = found.groupBy("doc_id", "th").agg((F.count(F.lit(1)) / len(shared)).cast("int").alias("copies"), F.sum("n_items").alias("n"), best.alias("b"))
+        each = found.groupBy("doc_id", "th").agg((F.count(F.lit(1)) / (1 + len(more))).cast("int").alias("copies"), F.sum("n_items").alias("n"), best.alias("b"))
         found = each.select("doc_id", "th", (F.col("n") / F.col("copies")).cast("long").alias("n_items"), "b.*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
-    share = F.when(F.col("item_tokens") > 0, F.col("covered") / F.col("item_tokens")).otherwise(F.lit(0.0))
     return found.withColumn("coverage", share).withColumn("contaminated", share >= coverage)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """docs without contaminated documents; all columns stay. One pass for each block of the benchmark."""
-    for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(block)  # of bounded size
-
-        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            bad = {row for row, _, size, covered, _ in shared.value.find(batch.column("text").to_pylist()) if covered >= coverage * size}
-            return batch.take(pa.array([i for i in range(batch.num_rows) if i not in bad], pa.int64())) if bad else batch
-
-        docs = arrow_map(docs, run, docs.schema)
-    return docs
+    """docs without contaminated documents; all columns stay. One block: a filter in one scan. More: the keys of contaminated documents, one
+    scan for each block, and an anti-join with them."""
+    name = next(c for c in docs.columns if c.lower() == "text")
+    rest = blocks(benchmark)
+    first, second = next(rest, None), next(rest, None)
+    if first is None:
+        return docs
+    if second is not None:
+        bad = overlaps(docs, benchmark, coverage).filter("contaminated").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("kid"), "th").distinct()
+        whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid"), F.xxhash64(name).alias("th"), F.struct(*docs.columns).alias("doc"))
+        return whole.join(bad, ["kid", "th"], "left_anti").select("doc.*")
+    shared = docs.sparkSession.sparkContext.broadcast(first)  # of bounded size
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bad = {row for row, _, size, covered, _ in shared.value.find(batch.column(name).to_pylist()) if covered >= coverage * size}
+        return batch.take(pa.array([i for i in range(batch.num_rows) if i not in bad], pa.int64())) if bad else batch
+
+    return arrow_map(docs, run, docs.schema, name)
 
 
 def op3_greedy_tiling(spark, sf_dir: str) -> DataFrame:

@@ -58,8 +58,8 @@ class Feistel:
         return self._walk(x, True)
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with a global row number in the given order, as column number. Rows are cut once they are in order."""
+def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """rows with a global row number in the given order, as column number; and how many there are. Rows are cut once they are in order."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.withColumn("input", F.monotonically_increasing_id()).repartitionByRange(parts, *order, "input").sortWithinPartitions(*order, "input")
     # the id holds the partition in its upper 31 bits and the place in it in its lower 33
@@ -67,14 +67,13 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row per partition
     starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
-    return ordered.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("number", F.col("start") + place).drop("at", "part", "start")
+    return ordered.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("number", F.col("start") + place).drop("at", "part", "start"), ordered.count()
 
 
 def shard(docs: DataFrame, shards: int = 40, seed: int = SEED) -> DataFrame:
     """doc_id, size, text_crc32, number, shard and slot of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"))
-    placed = numbered(rows, "doc_id", "text_crc32", "size")
-    n = rows.count()
+    placed, n = numbered(rows, "doc_id", "text_crc32", "size")
     permutation = Feistel(n, seed)
 
     @F.pandas_udf("long")

@@ -11,7 +11,9 @@ assistant and system is written after an equals sign, with its colons escaped to
 
 Defined results: a null text or role is empty; a null score is 0; messages whose ancestors loop or are missing are on
 no path; of rows with the same conversation and id the least by (parent, role, text) counts; an empty table gives no rows;
-other columns are ignored. As a chain (`chain`), rows of a conversation follow each other by turn, then role and text.
+other columns are ignored. As a chain (`chain`), rows of a conversation follow each other by turn (null turns first), then role and text.
+Messages with a null conv_id are one conversation, whose conv_id stays null. A conversation is one row of the result, a
+string, so its chosen path is held by one task; that bounds the length of one, not the number of them.
 """
 
 from __future__ import annotations

@@ -33,6 +33,8 @@ def _add(name: str, sql: str | None) -> Callable[[Query], Query]:
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder in the place that the session's executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}" if where else "file://" + tempfile.mkdtemp(prefix=f"{name}-")
 
 
@@ -92,12 +94,30 @@ def _fan_out(spark, d):
     return catalog.fan_out(catalog.scan(spark, d, "orders"), catalog.scan(spark, d, "lineitem"), catalog.TPCH.relationship("orders", ("o_orderkey",), "lineitem"))
 
 
-@_add("catalog_keys", None)
+_KEYS = """('nation', 'n_regionkey', 'region', 'r_regionkey'), ('supplier', 's_nationkey', 'nation', 'n_nationkey'), ('customer', 'c_nationkey', 'nation', 'n_nationkey'), ('orders', 'o_custkey', 'customer', 'c_custkey'),
+  ('lineitem', 'l_orderkey', 'orders', 'o_orderkey'), ('lineitem', 'l_partkey', 'part', 'p_partkey'), ('lineitem', 'l_suppkey', 'supplier', 's_suppkey'),
+  ('lineitem', 'l_partkey,l_suppkey', 'partsupp', 'ps_partkey,ps_suppkey'), ('partsupp', 'ps_partkey', 'part', 'p_partkey'), ('partsupp', 'ps_suppkey', 'supplier', 's_suppkey')"""
+
+
+@_add("catalog_keys", f"""WITH k(a, x, b, y) AS (VALUES {_KEYS}) SELECT a AS source, x AS columns, b AS target, y AS keys, true AS is_unique FROM k UNION ALL SELECT b, y, a, x, false FROM k""")
 def _catalog(spark, d):
-    rows = [(t.name, ",".join(r.source), r.target, ",".join(r.keys), r.unique) for t in catalog.TPCH.tables.values() for r in t.relationships]
+    """The relationships of a catalog that was saved and loaded again."""
+    path = _folder(spark, "catalog")
+    spark.createDataFrame([(catalog.TPCH.to_json(),)], "text string").write.text(path)
+    loaded = catalog.Catalog.from_json("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))  # one small document
+    rows = [(t.name, ",".join(r.source), r.target, ",".join(r.keys), r.unique) for t in loaded.tables.values() for r in t.relationships]
     return spark.createDataFrame(rows, "source string, columns string, target string, keys string, is_unique boolean")
 
 
+@_add("bucketed_join", "SELECT o_orderkey, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL")
+def _bucketed(spark, d):
+    """Two tables bucketed by the key that joins them: neither the join nor the grouping shuffles."""
+    name = uuid.uuid4().hex
+    orders = catalog.write_bucketed(catalog.scan(spark, d, "orders").select("o_orderkey"), f"orders_{name}", ["o_orderkey"], 8, _folder(spark, "bucketed"))
+    line = catalog.write_bucketed(catalog.scan(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), f"lineitem_{name}", ["l_orderkey"], 8, _folder(spark, "bucketed"))
+    return Rel(orders).join(Rel(line), [("l_orderkey", "o_orderkey")]).aggregate(["o_orderkey"], [("count", None, "n"), ("sum", "l_linenumber", "s")]).result()
+
+
 # projections and filters
 
 
@@ -156,6 +176,18 @@ def _semi(spark, d):
     return Rel.scan(spark, d, "orders").semi(Rel.scan(spark, d, "lineitem"), [("l_orderkey", "o_orderkey")], c("l_quantity") > 45).project("o_orderkey").result()
 
 
+@_add("join_semi_residual", "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem a WHERE EXISTS (SELECT * FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_suppkey <> a.l_suppkey)")
+def _semi_residual(spark, d):
+    a, b = Rel.scan(spark, d, "lineitem", "a"), Rel.scan(spark, d, "lineitem", "b")
+    return a.semi(b, [("b.l_orderkey", "a.l_orderkey")], c("b.l_suppkey") != c("a.l_suppkey")).project("a.l_orderkey", "a.l_linenumber", "a.l_suppkey").result()
+
+
+@_add("join_anti_residual", "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem a WHERE l_returnflag = 'R' AND NOT EXISTS (SELECT * FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_suppkey <> a.l_suppkey AND b.l_returnflag = 'R')")
+def _anti_residual(spark, d):
+    a, b = (Rel.scan(spark, d, "lineitem", x).where(c("l_returnflag") == "R") for x in "ab")
+    return a.anti(b, [("b.l_orderkey", "a.l_orderkey")], c("b.l_suppkey") != c("a.l_suppkey")).project("a.l_orderkey", "a.l_linenumber", "a.l_suppkey").result()
+
+
 @_add("join_anti", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT * FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 5)")
 def _anti(spark, d):
     return Rel.scan(spark, d, "orders").anti(Rel.scan(spark, d, "lineitem"), [("l_orderkey", "o_orderkey")], c("l_quantity") > 5).project("o_orderkey").result()
@@ -200,10 +232,13 @@ def _not_in(spark, d):
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/events.parquet").select(c("user_id").alias("src"), F.pmod(F.floor("value").cast("long"), F.lit(150)).alias("dst")).filter("src < dst").distinct()
+    """Users of consecutive events, from the lesser to the greater: vertices and edges grow with the table."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    pairs = events.select(c("event_id").alias("i"), c("user_id").alias("u")).join(events.select((c("event_id") - 1).alias("i"), c("user_id").alias("v")), "i").filter("u != v")
+    return pairs.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).distinct()
 
 
-_E = "WITH e AS (SELECT DISTINCT user_id AS src, ((CAST(floor(value) AS BIGINT) % 150) + 150) % 150 AS dst FROM events WHERE user_id < ((CAST(floor(value) AS BIGINT) % 150) + 150) % 150)"
+_E = "WITH e AS (SELECT DISTINCT least(a.user_id, b.user_id) AS src, greatest(a.user_id, b.user_id) AS dst FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.user_id <> b.user_id)"
 
 
 @_add("graph_exist", f"{_E} SELECT a.src AS a, a.dst AS b, b.dst AS c FROM e a JOIN e b ON a.dst = b.src WHERE EXISTS (SELECT * FROM e WHERE e.src = a.src AND e.dst = b.dst)")
@@ -402,9 +437,9 @@ def _profile_keys(spark, d):
     return profile.key_imbalance(catalog.scan(spark, d, "orders"), ["o_custkey"])
 
 
-@_add("profile_partitions", None)
+@_add("profile_partitions", "SELECT CAST(sum(n) AS BIGINT) AS n_rows, max(n) AS largest, max(n) * 8 / sum(n) AS imbalance FROM (SELECT l_partkey % 8 AS p, count(*) AS n FROM lineitem GROUP BY ALL)")
 def _profile_partitions(spark, d):
-    return profile.imbalance(catalog.scan(spark, d, "lineitem").repartition(8, "l_orderkey"), 8)
+    return profile.imbalance(catalog.scan(spark, d, "lineitem").repartitionById(8, F.pmod("l_partkey", F.lit(8)).cast("int")), 8)
 
 
 # extensions beyond the inventory: what the benchmark's texts say about order

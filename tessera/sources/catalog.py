@@ -57,14 +57,22 @@ class Catalog:
                 return r
         raise KeyError(f"no relationship from {source}{tuple(columns)} to {target}")
 
+    def to_json(self) -> str:
+        return json.dumps({n: asdict(t) for n, t in self.tables.items()}, indent=1)
+
     def save(self, path: str) -> None:
+        """Writes a file of the driver."""
         with open(path, "w") as out:
-            json.dump({n: asdict(t) for n, t in self.tables.items()}, out, indent=1)
+            out.write(self.to_json())
 
     @classmethod
     def load(cls, path: str) -> Catalog:
         with open(path) as lines:
-            raw = json.load(lines)
+            return cls.from_json(lines.read())
+
+    @classmethod
+    def from_json(cls, text: str) -> Catalog:
+        raw = json.loads(text)
         return cls({n: Table(t["name"], t["columns"], tuple(t["primary"]), [Relationship(tuple(r["source"]), r["target"], tuple(r["keys"]), r["unique"]) for r in t["relationships"]]) for n, t in raw.items()})
 
 
@@ -134,9 +142,10 @@ def write_result(df: DataFrame, path: str, kind: str = "parquet") -> None:
     (out.option("header", True).csv if kind == "csv" else getattr(out, kind))(path)
 
 
-def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
-    """A table bucketed and sorted by a join key: joins and aggregates on it need no shuffle."""
-    df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, path: str | None = None) -> DataFrame:
+    """A table bucketed and sorted by a join key: joins and aggregates on it need no shuffle. path: its folder, instead of the warehouse's."""
+    out = df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    (out.option("path", path) if path else out).saveAsTable(name)
     return df.sparkSession.table(name)
 
 

@@ -145,15 +145,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     label = got["quality"].to_numpy()[order]
     if not len(label) or label.min() == label.max():
         return Model(np.zeros(DIMENSIONS), 0.0, 0.0, 40.0)
-    excerpts = got["excerpt"].to_pylist()
-    b = base([excerpts[i] for i in order])
-    whose, index, share = features(b["words"])
-    whose, (owner, pair) = b["doc"][whose], pairs(b["hashes"], b["doc"])
-    n = b["n_words"]
-    # one entry for each document and feature
-    key, where = np.unique(np.concatenate((whose, owner)) * DIMENSIONS + np.concatenate((index, pair)), return_inverse=True)
-    value = np.bincount(where, np.concatenate((share / n[whose], 1 / np.maximum(1, n - 1)[owner])), len(key))
-    row, index = key // DIMENSIONS, key % DIMENSIONS
+    excerpts, out = got["excerpt"].to_pylist(), []
+    for start in range(0, len(order), 64):  # some documents at a time: features take far more room than texts
+        b = base([excerpts[i] for i in order[start : start + 64]])
+        whose, index, share = features(b["words"])
+        whose, (owner, pair), n = b["doc"][whose], pairs(b["hashes"], b["doc"]), b["n_words"]
+        # one entry for each document and feature
+        key, where = np.unique(np.concatenate((whose, owner)) * DIMENSIONS + np.concatenate((index, pair)), return_inverse=True)
+        value = np.bincount(where, np.concatenate((share / n[whose], 1 / np.maximum(1, n - 1)[owner])), len(key))
+        out.append(((key // DIMENSIONS + start).astype(np.int32), (key % DIMENSIONS).astype(np.int32), value.astype(np.float32)))
+    row, index, value = (np.concatenate(x) for x in zip(*out))
+    row, index = row.astype(np.int64), index.astype(np.int64)  # as bincount wants them
+    del out, excerpts, got
     held = np.arange(len(label)) % 5 == 0
     if len(set(label[held])) < 2 or len(set(label[~held])) < 2:
         held = np.zeros(len(label), bool)

@@ -27,17 +27,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, apart, arrow_map, cut, keyed, signed
+from .common import NULL_ID, apart, arrow_map, cut, keyed, mix, signed
 
-THRESHOLD = 3
+THRESHOLD, GOLDEN = 3, 0x9E3779B97F4A7C15
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LOW31 = (1 << 31) - 1
 #: Row k: the positions 1 to 31 whose number has bit k; the syndrome's bit k is the parity over them.
 _CHECKS = [sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1) for k in range(5)]
 
 
-def fingerprints(texts: list[bytes | None], size: int = 3) -> np.ndarray:
-    """64-bit SimHash fingerprints over word shingles, repeats included."""
+def families(texts: list[bytes | None], size: int = 3, count: int = 1) -> list[np.ndarray]:
+    """64-bit SimHash fingerprints over word shingles, repeats included, by count independent hashes of a shingle; the first is XXH64 itself."""
     hashes, counts = [], []
     for text in texts:
         words = text.lower().split() if text else []
@@ -47,15 +47,23 @@ def fingerprints(texts: list[bytes | None], size: int = 3) -> np.ndarray:
             shingles = [b" ".join(words)] if words else []
         counts.append(len(shingles))
         hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, len(shingles)))
-    n = np.array(counts, np.int64)
-    octets = np.concatenate([*hashes, np.zeros(0, np.uint64)]).view(np.uint8).reshape(-1, 8)
-    row = np.repeat(np.arange(len(texts)) * 256, n)
-    out = np.zeros(len(texts), np.uint64)
-    for j in range(8):
-        ones = np.bincount(row + octets[:, j], minlength=len(texts) * 256).reshape(len(texts), 256) @ _BITS
-        more = 2 * ones > n[:, None]
-        out |= (more.astype(np.uint64) << np.arange(8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) << np.uint64(8 * j)
-    return out
+    n, flat = np.array(counts, np.int64), np.concatenate([*hashes, np.zeros(0, np.uint64)])
+    row, all_out = np.repeat(np.arange(len(texts)) * 256, n), []
+    for k in range(count):
+        with np.errstate(over="ignore"):
+            octets = (mix(flat + np.uint64(k * GOLDEN % (1 << 64))) if k else flat).view(np.uint8).reshape(-1, 8)
+        out = np.zeros(len(texts), np.uint64)
+        for j in range(8):
+            ones = np.bincount(row + octets[:, j], minlength=len(texts) * 256).reshape(len(texts), 256) @ _BITS
+            more = 2 * ones > n[:, None]
+            out |= (more.astype(np.uint64) << np.arange(8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) << np.uint64(8 * j)
+        all_out.append(out)
+    return all_out
+
+
+def fingerprints(texts: list[bytes | None], size: int = 3) -> np.ndarray:
+    """64-bit SimHash fingerprints over word shingles, repeats included."""
+    return families(texts, size)[0]
 
 
 def _syndrome(half: Column) -> Column:
@@ -106,7 +114,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, kid and th (the row key), fp, n_near, component_id, and root, the least fp of its component."""
+    """One row per document: doc_id, kid and th (the row key), fp, n_near, component_id."""
 
     def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column("doc_id"), batch.column("kid"), batch.column("th"), pa.array(signed(fingerprints(batch.column("text").to_pylist())))], ["doc_id", "kid", "th", "fp"])
@@ -119,14 +127,33 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     roots = components(pairs)
     named = classes.join(around, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = named.withColumn("root", apart("root")).join(firsts.select(apart("root"), "component_id"), "root").select("fp", apart("root"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id")
-    return rows.select("doc_id", "kid", "th", apart("fp")).join(found.select(apart("fp"), "n_near", "component_id", "root"), "fp").select("doc_id", "kid", "th", apart("fp"), "n_near", "component_id", "root")
+    found = named.withColumn("root", apart("root")).join(firsts.select(apart("root"), "component_id"), "root").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id")
+    return rows.select("doc_id", "kid", "th", apart("fp")).join(found.select(apart("fp"), "n_near", "component_id"), "fp").select("doc_id", "kid", "th", apart("fp"), "n_near", "component_id")
+
 
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD, size: int = 3, count: int = 1) -> DataFrame:
+    """docs with one document of each component: the one of least doc_id, and of its repeated rows one; all columns stay.
 
-def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """docs with one document of each component: the one of least doc_id, and of its repeated rows one; all columns stay."""
-    marked = near_duplicates(docs, threshold)
-    best = marked.groupBy("root").agg(F.min(F.struct("kid", "th")).alias("k")).select("k.kid", "k.th").distinct()
+    Documents are linked where the fingerprints of any one of count families are near; each family has its own chance to bring two near copies within
+    the threshold, so more families catch more of them. A component's nodes are the first family's fingerprints.
+    """
+    names = [f"f{k}" for k in range(count)]
+
+    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = families(batch.column("text").to_pylist(), size, count)
+        return pa.record_batch([batch.column("kid"), batch.column("th"), *(pa.array(signed(f)) for f in found)], ["kid", "th", *names])
+
+    rows = cut(arrow_map(keyed(docs).select("kid", "th", "text"), prints, "kid long, th long, " + ", ".join(f"{f} long" for f in names)))
+    edges = linked(rows.select(F.col("f0").alias("fp")).distinct(), threshold)
+    for f in names[1:]:
+        same = rows.select("f0", F.col(f).alias("fp")).distinct()
+        least = cut(same.groupBy("fp").agg(F.min("f0").alias("node")))  # cut, so that each join's sides are shuffled for it alone
+        stars = same.join(least, "fp").filter("f0 != node").select(F.col("node").alias("x"), F.col("f0").alias("y"))
+        pairs = linked(least.select("fp"), threshold).join(least.select(F.col("fp").alias("x"), F.col("node").alias("a")), "x").join(least.select(F.col("fp").alias("y"), F.col("node").alias("b")), "y").filter("a != b")
+        edges = edges.union(stars).union(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")))
+    roots = components(cut(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()))
+    nodes = rows.groupBy(F.col("f0").alias("fp")).agg(F.min(F.struct("kid", "th")).alias("k"))
+    best = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("k").alias("k")).select("k.kid", "k.th").distinct()
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid"), F.xxhash64("text").alias("th"))
     one = Window.partitionBy("kid", "th").orderBy(F.lit(1))
     return whole.join(best, ["kid", "th"], "left_semi").withColumn("place", F.row_number().over(one)).filter("place = 1").select("doc.*")

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import base_figures, library, near, sha, without_lines
+from brute import base_figures, library, near, overlap, reads, sha, without_lines
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tessera.llm import bpe, decontaminate, language_id, line_dedup, quality, sharding, simhash, substring_dedup, token_files
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def table(df, *names):
     return sorted((tuple(r) for r in df.select(*names).collect()), key=repr)
 
@@ -31,6 +37,40 @@ def test_bpe(odd, none):
     assert bpe.digests(none, RANKS).count() == 0
 
 
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.Codec(RANKS)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.text(max_size=300), st.text(alphabet=st.sampled_from(list("-= \nabthe1é日")), max_size=600)))
+def test_any_text_is_encoded_as_by_the_library(codec, text):
+    text = text.encode("utf-8", "replace").decode()
+    ids = codec.encode(text)
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text) and codec.decode(ids) == text.encode()
+
+
+@pytest.mark.parametrize("unit", ["-", "=", "a", "\n", "ab", "é", None])
+def test_a_long_match(codec, unit):
+    """The library takes time in the square of a match's length, so it is asked for a shorter one."""
+    make = lambda n: unit * (n // len(unit)) if unit else "".join(random.Random(7).choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    assert np.frombuffer(codec.encode(make(6000)), "<u4").tolist() == library.encode_ordinary(make(6000))
+    begun = time.process_time()
+    assert codec.decode(codec.encode(make(1_000_000))) == make(1_000_000).encode()
+    assert time.process_time() - begun < 60
+
+
+def test_merges_with_a_heap_are_the_merges(codec):
+    rng = random.Random(1)
+    for k in range(200):
+        piece = "".join(rng.choices("aeths -=", k=rng.randint(1, 200))).encode()
+        units = [piece[i : i + 1] for i in range(len(piece))]
+        while ranked := [(codec.ranks[units[i] + units[i + 1]], i) for i in range(len(units) - 1) if units[i] + units[i + 1] in codec.ranks]:
+            i = min(ranked)[1]
+            units[i : i + 2] = [units[i] + units[i + 1]]
+        assert codec.merge_long(piece) == [codec.ranks[u] for u in units]
+
+
 def test_sharding(odd, none):
     rows = sharding.shard(odd, 7).collect()
     assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in rows), key=repr) == sorted(((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in inputs(odd)), key=repr)
@@ -60,6 +100,17 @@ def test_quality(odd, none, spark):
     assert quality.judge(none, quality.train(none, labels)).count() == 0
 
 
+def test_quality_sample_is_bounded(spark):
+    """Many documents of one labelled doc_id, and long ones: neither rows nor bytes beyond the bound reach the driver."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(400)] + [(2, "long word " * 20_000)] + [(3, "same")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (4, 1)], "doc_id long, quality int")
+    rows = quality.sample(docs, labels, 4).collect()
+    assert len(rows) == 4 and all(len(r["excerpt"]) <= quality.EXCERPT for r in rows)
+    whole = quality.sample(docs, labels, 1000).collect()
+    assert Counter(r["quality"] for r in whole) == {1: 401, 0: 1}
+    assert len(quality.sample(docs, labels, 1).collect()) <= 1
+
+
 def test_token_files(odd, none, tmp_path):
     tokenizer, out = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/files"
     rows = token_files.read_shards(token_files.write_shards(odd, out, tokenizer), out).collect()
@@ -109,6 +160,20 @@ def test_substrings(odd, none, window, seed):
     assert substring_dedup.duplicate_spans(none, window, seed).count() == 0
 
 
+def test_factors(spark):
+    """A copied passage is one factor, with the place of its reference; of two references that meet, two factors."""
+    word = lambda head, n: " ".join(f"{head}{i}" for i in range(n))
+    a, b = word("a", 80), word("b", 60)
+    texts = [f"x1 x2 {a} x3", f"y1 {b} y2", f"z1 {a} z2 {b}", "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    th = {r["t"]: r["th"] for r in docs.selectExpr("text AS t", "xxhash64(text) AS th").collect()}
+    got = sorted(tuple(r) for r in substring_dedup.factors(docs).select("th", "start", "length", "ref", "ref_start").collect())
+    place = {0: [(2, 80, "a")], 1: [(1, 60, "b")], 2: [(1, 80, "a"), (82, 60, "b")]}
+    held = {"a": {0: 2, 2: 1}, "b": {1: 1, 2: 82}}
+    first = {k: min(own, key=lambda i: th[texts[i]]) for k, own in held.items()}
+    assert got == sorted((th[texts[i]], start, length, th[texts[first[k]]] >> substring_dedup.ROOM, held[k][first[k]]) for i, own in place.items() for start, length, k in own)
+
+
 def test_language(odd, none, spark):
     net = language_id.train(odd)
     rows = language_id.predict(odd, net).collect()
@@ -118,13 +183,32 @@ def test_language(odd, none, spark):
     assert language_id.train(none) is None
     assert language_id.predict(none, net).count() == 0
     assert {r["lang_pred"] for r in language_id.predict(odd, None).collect()} == {"und"}
-    assert language_id.keep_known(odd, None, 0.4).columns == odd.columns
-
-
-def test_spans_are_the_text(odd_texts):
-    for t in odd_texts:
-        data = (t or "").encode()
-        assert b"".join(language_id.spans(data)) == data and all(len(s) <= language_id.SPAN for s in language_id.spans(data))
+    kept = language_id.keep_known(odd, None, 0.4)
+    assert kept.columns == odd.columns and kept.count() == sum(letters[i] for i, _ in inputs(odd))
+
+
+def test_network_reads_texts_byte_by_byte(odd_texts):
+    net = language_id.Network(["a", "b", "c"]).freeze()
+    texts = [(t or "").encode() for t in odd_texts] + [bytes(range(256)) * 5, b"x" * 383, b"y" * 384, b"z" * 385, b"w" * 513]
+    sums = net.sums(texts)
+    for t, own in zip(texts, sums):
+        if len(t) < 3000:
+            mean = own / max(1, len(t))
+            share = np.exp(mean) / np.exp(mean).sum()
+            assert np.allclose(share, reads(net, t) if t else 1 / 3, atol=1e-5)
+    assert np.allclose(net.sums(texts[::-1])[::-1], sums, rtol=1e-4, atol=1e-3)  # alone or in any company
+
+
+def test_language_sample_is_bounded(spark):
+    """Rows of one doc_id train each with its own lang, repeated rows once, and never more than the bound reaches the driver."""
+    rows = [(1, f"text number {i}", "en" if i % 2 else "fr") for i in range(400)] + [(3, "again " * 5000, "de")] * 60 + [(1, "no language", None), (None, "no id", "en"), (3, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.sample(docs, 50, 1000).collect()
+    assert Counter(r["language"] for r in got) == {"en": 50, "fr": 50, "de": 1}
+    assert all(len(r["windows"]) <= language_id.WINDOWS * language_id.LENGTH for r in got)
+    assert len(language_id.sample(docs, 50, 7).collect()) == 7
+    right = {f"text number {i}": "en" if i % 2 else "fr" for i in range(400)}
+    assert all(right[bytes(r["windows"]).decode()] == r["language"] for r in got if r["language"] != "de")
 
 
 def test_gradients():
@@ -132,6 +216,7 @@ def test_gradients():
     net = language_id.Network(["a", "b", "c"], 4, 3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     rows, lang = rng.integers(97, 105, (6, 5)), np.arange(6) % 3
+    rows[2, 3:] = language_id.OUTSIDE
     _, g = net.step(rows, lang)
     for k, v in net.p.items():
         at = np.unravel_index(np.abs(g[k]).argmax(), v.shape)
@@ -151,9 +236,16 @@ def test_simhash(odd, none):
     assert table(simhash.near_duplicates(odd), "doc_id", "fp", "n_near", "component_id") == sorted(expected, key=repr)
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and kept.count() == len(set(root))
+    expected = {x for x in near(rows, 2, 3)[2] if x is not None}
+    assert {r["doc_id"] for r in simhash.keep_one(odd, size=2, count=3).collect()} - {None} == expected
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_components_without_ids_stay_apart(spark):
+    docs = spark.createDataFrame([(None, "one text of five words"), (None, "another text that is quite different from it"), (None, "one text of five words"), (4, "third")], "doc_id long, text string")
+    assert sorted(r["text"] for r in simhash.keep_one(docs).collect()) == ["another text that is quite different from it", "one text of five words", "third"]
+
+
 def test_anchors_lose_no_pair(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
@@ -188,10 +280,16 @@ def test_lines(odd, none):
     assert {r["template"] for r in line_dedup.recurring(odd, 12).collect()} >= {"All rights reserved <*>"}
 
 
-def test_template():
-    assert line_dedup.template(b"  ") is None
-    assert line_dedup.template(b"page 3 of 10") == b"4 page <*> of <*>"
-    assert line_dedup.template(b"a b c d e f g h") == b"8 a b c d e f"
+def test_leaves_generalise(spark):
+    """A variable word at any place beyond the leading two, short or long lines; leading tokens, and lines that vary more, stay apart."""
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "klm"]
+    rows = [(k, f"posted to {n} as news\npage {k} of {k + 9}\nwritten by {n} {n}x\n{n} was here again\n{k}\nall rights belong to {n} and {n} of this fine old company") for k, n in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["template"]: r["n_docs"] for r in line_dedup.recurring(docs).collect()}
+    assert found == {"posted to <*> as news": 30, "page <*> of <*>": 30, "all rights belong to <*> and <*> of this fine old company": 30}
+    out = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring(docs).collect()}
+    assert out[0] == rows[0][1] and all(out[k] == f"written by {n} {n}x\n{n} was here again\n{k}" for k, n in enumerate(names) if k)
+    assert line_dedup.drop_recurring(docs, 31).orderBy("doc_id").collect() == docs.orderBy("doc_id").collect()
 
 
 def test_decontamination(odd, none, spark, odd_texts):
@@ -207,10 +305,14 @@ def test_decontamination(odd, none, spark, odd_texts):
     assert (got[1]["item_id"], got[1]["covered"], got[1]["longest"], got[1]["n_items"]) == (1, 17, 17, 2)
     assert got[2]["covered"] == 17 and got[2]["longest"] == 9 and got[5]["covered"] == 6
     assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()) == [3, 5, 6, 7]
+    items_sorted = sorted((r["item_id"], r["text"]) for r in items.collect())
+    for r in docs.collect():
+        assert tuple(got[r["doc_id"]][n] for n in ("n_items", "item_id", "item_tokens", "covered", "longest")) == overlap(r["text"], items_sorted)
     old = decontaminate.blocks
     try:  # one item a block gives the same
         decontaminate.blocks = lambda b: old(b, 1)
         again = {r["doc_id"]: r for r in decontaminate.overlaps(docs, items).collect()}
+        assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()) == [3, 5, 6, 7]
     finally:
         decontaminate.blocks = old
     names = ["n_items", "item_id", "item_tokens", "covered", "longest", "contaminated"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 from brute import WORDS, coverage, library, near, without_lines
@@ -56,13 +57,10 @@ def test_empty_tables(spark, none, odd, tmp_path):
 
 
 def test_intermediate_folders_go(spark, odd, tmp_path):
-    old = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        corpus_pipeline.run(spark, folder(spark, tmp_path / "in", odd)).count()
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old)
-    (own,) = [p for p in (tmp_path / "shared").iterdir() if p.name.startswith("pipeline-")]
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("pipeline-*"))
+    corpus_pipeline.run(spark, folder(spark, tmp_path / "in", odd)).count()
+    (own,) = set(shared.glob("pipeline-*")) - before
     assert [p.name for p in own.iterdir() if p.is_dir()] == ["3-benchmark"]
 
 

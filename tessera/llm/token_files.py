@@ -147,16 +147,16 @@ class Grammar:
         return _gather(ids, begin, size, self.opened(symbols, size, SHORT))
 
 
-def repair(ids: np.ndarray, starts: np.ndarray, first: int = FIRST, rounds: int | None = None, per_round: int | None = None, least: int = LEAST, weights: np.ndarray | None = None) -> Grammar:
+def repair(ids: np.ndarray, starts: np.ndarray, first: int = FIRST, rounds: int | None = None, per_round: int | None = None, least: int = LEAST, weights: np.ndarray | None = None, before: Grammar | None = None) -> Grammar:
     """Re-Pair over documents that begin at starts (ascending, the first 0); pairs never cross documents. weights: how often
-    each document counts. rounds, per_round: at most so many rounds, and rules a round.
+    each document counts. rounds, per_round: at most so many rounds, and rules a round. before: the rules that ids has already.
 
     A round counts all pairs, and replaces each place whose pair is more frequent than the pairs it overlaps if `least` of the
     pair's places are such; the most frequent pair's always are, so rounds end when no pair has `least` places.
     """
     seq, starts = ids.astype(np.int32), starts.astype(np.int64)
     weight = None if weights is None or (weights == 1).all() else np.repeat(weights.astype(np.int32), np.diff(np.append(starts, len(seq))))
-    rules, lengths, done, none = [], np.zeros(0, np.int64), 0, np.iinfo(np.int32).max
+    rules, lengths, done, none = ([before.rules], before.lengths.astype(np.int64), 0, np.iinfo(np.int32).max) if before else ([], np.zeros(0, np.int64), 0, np.iinfo(np.int32).max)
     live = np.ones(len(seq), bool)  # where pairs begin that may have `least` places; without a new symbol a pair doesn't gain any
     while len(seq) > 1 and (rounds is None or done < rounds):
         done += 1
@@ -233,16 +233,22 @@ def _ordered(seq: np.ndarray, place: np.ndarray, symbols: int) -> tuple[np.ndarr
 
 def repair_texts(texts: list[str | None], encoder: Encoder, first: int) -> tuple[Grammar, np.ndarray]:
     """Re-Pair over the texts' ids, and the number of ids of each text. Equal texts are encoded and compressed once, with
-    the weight of their number."""
+    the weight of their number. Pairs inside parts come first, over the different parts with the weight of each one's number, then all
+    pairs over the texts."""
     number: dict[str | None, int] = {}
     at = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
     parts, place, counts = encoder.cut(list(number))
     size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
     edge = np.concatenate(([0], np.cumsum(counts)))
     sizes = np.diff(np.concatenate(([0], np.cumsum(size[place])))[edge])
-    ids = _gather(np.frombuffer(b"".join(parts), np.uint32), np.cumsum(size) - size, size, place)
-    del parts, place
-    g = repair(ids, np.cumsum(sizes) - sizes, first, weights=np.bincount(at))
+    copies = np.bincount(at)
+    inner = repair(np.frombuffer(b"".join(parts), np.uint32), np.cumsum(size) - size, first, weights=np.bincount(place, np.repeat(copies, counts), len(parts)).astype(np.int64))
+    del parts
+    width = np.diff(np.append(inner.starts, len(inner.symbols)))
+    symbols = _gather(inner.symbols, inner.starts, width, place)
+    sizes_now = np.diff(np.concatenate(([0], np.cumsum(width[place])))[edge])
+    del place
+    g = repair(symbols, np.cumsum(sizes_now) - sizes_now, first, weights=copies, before=inner)
     width = np.diff(np.append(g.starts, len(g.symbols)))
     return Grammar(first, g.rules, g.lengths, _gather(g.symbols, g.starts, width, at), np.cumsum(width[at]) - width[at]), sizes[at]
 

@@ -126,7 +126,8 @@ def _parsed(docs: DataFrame, window: int, seed: int) -> DataFrame:
         names = ["th", "size", "at", "h1", "h2"]
         return pa.record_batch([pa.array(col("th")), pa.array(col("size")), pa.array((begin - p.starts[doc]).astype(np.int32)), pa.array(signed(p.roll.range(begin, begin + window))), pa.array((signed(other.range(begin, begin + window)) >> 32).astype(np.int32))], names)
 
-    checked = arrow_map(parsed.filter(F.size("edge") > 0).select("th", "size", "text", "edge"), edges, "th long, size int, at int, h1 long, h2 int")
+    # inner goes along, so that what leads here is the same plan as in cut_out's input, and runs once
+    checked = arrow_map(parsed.filter(F.size("edge") > 0).select("th", "size", "text", "inner", "edge"), edges, "th long, size int, at int, h1 long, h2 int")
     own = F.shiftleft(F.shiftright("th", ROOM), ROOM).bitwiseOR(F.col("at").cast("long").bitwiseAND(F.lit((1 << ROOM) - 1)))
     repeats = checked.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("place")).filter("n > 1").select(apart("h1"), "h2", "place")
     hits = checked.withColumn("h1", apart("h1")).join(repeats, ["h1", "h2"]).select("th", "size", "at", "place").repartition("th", "size").groupBy("th", "size").agg(F.collect_list(hit).alias("hits"))

@@ -3,7 +3,7 @@
 The benchmark is a stated query set: it is read in blocks of at most BLOCK_BYTES of text (or one item), and every block is held against
 all documents. The driver and the workers hold one block at a time: with more than one, what a block gives is written before the next is sent. A document and an item are compared where they share a seed, a run of MIN_MATCH tokens; seeds are found by
 Karp-Rabin hashes in one pass over the document. Then tiles are marked as in greedy string tiling: again and again the
-longest matches of unmarked tokens, each token once, until none of MIN_MATCH tokens is left. An item's coverage is the
+longest matches of unmarked tokens, found by running Karp-Rabin, each token once, until none of MIN_MATCH tokens is left. An item's coverage is the
 share of its tokens under tiles, in whatever order the document has them; a document is contaminated from COVERAGE of an item
 on. Items of fewer than MIN_MATCH tokens count as one seed of their own length.
 
@@ -41,37 +41,44 @@ def tokens(text: str | bytes | None) -> list[bytes]:
     return text.lower().encode().translate(_MARKS).split()
 
 
-def tile(pattern: list, text: list, least: int = MIN_MATCH, seeds: dict | None = None) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (place in pattern, place in text, length) of each tile, longest first.
+def tile(pattern: np.ndarray, text: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
+    """Greedy string tiling by running Karp-Rabin, of tokens given by their hashes: (place in pattern, place in text, length)
+    of each tile, longest first, and of one length in order of both places.
 
-    seeds: for each run of `least` pattern tokens that text has too, its places in text.
+    The longest length that unmarked runs of both have in common is searched by halving, each time by the rolling hashes of
+    all unmarked runs of one length; its matches are marked, and shorter ones follow.
     """
-    if seeds is None:
-        seeds = defaultdict(list)
-        for j in range(len(text) - least + 1):
-            seeds[tuple(text[j : j + least])].append(j)
-    used_p, used_t, tiles = bytearray(len(pattern)), bytearray(len(text)), []
-    while True:
-        longest, found = least, []
-        for i in range(len(pattern) - least + 1):
-            if any(used_p[i : i + least]):
-                continue
-            for j in seeds.get(tuple(pattern[i : i + least]), ()):
-                if any(used_t[j : j + least]):
-                    continue
-                k = least
-                while i + k < len(pattern) and j + k < len(text) and not used_p[i + k] and not used_t[j + k] and pattern[i + k] == text[j + k]:
-                    k += 1
-                if k > longest:
-                    longest, found = k, [(i, j)]
-                elif k == longest:
-                    found.append((i, j))
-        if not found:
-            return tiles
-        for i, j in found:
-            if not any(used_p[i : i + longest]) and not any(used_t[j : j + longest]):
-                used_p[i : i + longest] = used_t[j : j + longest] = b"\1" * longest
-                tiles.append((i, j, longest))
+    rolls, tiles = (Rolling(pattern), Rolling(text)), []
+    used = (np.zeros(len(pattern), bool), np.zeros(len(text), bool))
+
+    def runs(side: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the unmarked runs of length k."""
+        sums = np.concatenate(([0], np.cumsum(used[side])))
+        at = np.flatnonzero(sums[k:] == sums[: len(sums) - k])
+        return at, rolls[side].grams(k)[at]
+
+    def shared(k: int) -> bool:
+        return bool(np.isin(runs(0, k)[1], runs(1, k)[1]).any())
+
+    most = min(len(pattern), len(text))
+    while most >= least and shared(least):
+        low = least
+        while low < most:
+            middle = (low + most + 1) // 2
+            low, most = (middle, most) if shared(middle) else (low, middle - 1)
+        (p, hp), (t, ht) = runs(0, low), runs(1, low)
+        places: dict[int, list[int]] = defaultdict(list)
+        for j, h in zip(t[np.isin(ht, hp)].tolist(), ht[np.isin(ht, hp)].tolist()):
+            places[h].append(j)
+        for i, h in zip(p.tolist(), hp.tolist()):
+            for j in places.get(h, ()):
+                if used[0][i : i + low].any():
+                    break
+                if not used[1][j : j + low].any() and (pattern[i : i + low] == text[j : j + low]).all():
+                    used[0][i : i + low] = used[1][j : j + low] = True
+                    tiles.append((i, j, low))
+        most = low - 1
+    return tiles
 
 
 class Block:
@@ -84,11 +91,12 @@ class Block:
             own = tokens(text)
             if own:
                 size = min(least, len(own))
-                grams = np.unique(Rolling(word_hashes(own)).grams(size)) ^ np.uint64(size * 0x9E37)
+                values = word_hashes(own)
+                grams = np.unique(Rolling(values).grams(size)) ^ np.uint64(size * 0x9E37)
                 keys.append(grams)
                 owners.append(np.full(len(grams), len(self.ids)))
                 self.ids.append(item)
-                self.items.append(own)
+                self.items.append(values)
         key, owner = (np.concatenate([*x, np.zeros(0, np.uint64)]) for x in (keys, owners))
         order = np.argsort(key, kind="stable")
         self.key, self.owner = key.astype(np.uint64)[order], owner.astype(np.int64)[order]
@@ -102,7 +110,8 @@ class Block:
         counts = np.array([len(w) for w in words], np.int64)
         stops = np.cumsum(counts)
         doc = np.repeat(np.arange(len(texts)), counts)
-        roll = Rolling(word_hashes([w for ws in words for w in ws]))
+        values = word_hashes([w for ws in words for w in ws])
+        roll = Rolling(values)
         places: dict[tuple[int, int], set[int]] = defaultdict(set)
         for size in self.sizes:
             grams = roll.grams(size) ^ np.uint64(size * 0x9E37)
@@ -114,11 +123,11 @@ class Block:
                     places[int(doc[place]), owner].add(place)
         out = []
         for (row, owner), found in sorted(places.items()):
-            own, size, start = self.items[owner], min(self.least, len(self.items[owner])), int(stops[row] - counts[row])
-            seeds = defaultdict(list)
-            for place in sorted(found):
-                seeds[tuple(words[row][place - start : place - start + size])].append(place - start)
-            tiles = tile(own, words[row], size, seeds)
+            own, size = self.items[owner], min(self.least, len(self.items[owner]))
+            # every match lies under seeds, so those runs of the text are enough; a value of no token keeps them apart
+            under = np.unique(np.array(sorted(found))[:, None] + np.arange(size))
+            gaps = np.flatnonzero(np.diff(under) > 1) + 1
+            tiles = tile(own, np.insert(values[under], gaps, np.arange(1, len(gaps) + 1, dtype=np.uint64)), size)
             if tiles:
                 out.append((row, self.ids[owner], len(own), sum(k for _, _, k in tiles), tiles[0][2]))
         return out

@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import base_figures, library, near, overlap, reads, sha, without_lines
+from brute import base_figures, library, near, overlap, reads, sha, tiles, without_lines
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -322,5 +322,20 @@ def test_decontamination(odd, none, spark, odd_texts):
 
 
 def test_tiles_are_greedy():
-    assert decontaminate.tile(list("abcdexyzfghij"), list("fghijabcde"), 5) == [(0, 5, 5), (8, 0, 5)]
-    assert decontaminate.tile(list("aaaa"), list("aaaaaaaa"), 2) == [(0, 0, 4)]
+    tile = lambda p, t, least: decontaminate.tile(np.frombuffer(p.encode(), np.uint8).astype(np.uint64), np.frombuffer(t.encode(), np.uint8).astype(np.uint64), least)
+    assert tile("abcdexyzfghij", "fghijabcde", 5) == [(0, 5, 5), (8, 0, 5)]
+    assert tile("aaaa", "aaaaaaaa", 2) == [(0, 0, 4)]
+    assert tile("abc", "", 2) == tile("", "abc", 2) == tile("abc", "xyz", 2) == []
+    rng = random.Random(2)
+    for _ in range(150):
+        p, t = ("".join(rng.choices("ab" if rng.random() < 0.5 else "abcdefg", k=rng.randint(1, 40))) for _ in range(2))
+        assert [k for _, _, k in tile(p, t, 3)] == tiles(list(p), list(t), 3)
+
+
+def test_a_document_of_one_seed_again_and_again(spark):
+    """Two hundred thousand places of one seed take seconds."""
+    item = "a b c d e a b c d e f g h i j k"
+    block = decontaminate.Block([(1, item)])
+    begun = time.process_time()
+    assert block.find(["a b c d e " * 40_000 + "x f g h i j k"]) == [(0, 1, 16, 16, 10)]
+    assert time.process_time() - begun < 20

@@ -365,7 +365,9 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end: int = END) -> D
 
 def read_shards(files: DataFrame, out: str) -> DataFrame:
     """The files of write_shards read back: doc_id, start, n_tokens, ids_crc32, one row per document."""
-    placed = files.withColumn("base", F.sum("n_ids").over(Window.orderBy("part", "piece")) - F.col("n_ids"))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each task that wrote
+    starts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    placed = files.join(starts, "part").withColumn("base", F.col("start") + F.sum("n_ids").over(Window.partitionBy("part").orderBy("piece")) - F.col("n_ids"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _store(out)
@@ -378,8 +380,8 @@ def read_shards(files: DataFrame, out: str) -> DataFrame:
                 null = reader.doc_ids == NULL_ID
                 yield pa.record_batch([pa.array(reader.doc_ids, mask=null), pa.array(at + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.select("path", "base").repartition(parts).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.select("path", "base").repartition(tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:

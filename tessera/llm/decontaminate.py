@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Rolling, arrow_map, cut, word_hashes
+from .common import NULL_ID, Rolling, apart, arrow_map, cut, word_hashes
 
 MIN_MATCH, COVERAGE, BLOCK_BYTES = 5, 0.5, 8 << 20
 _MARKS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -201,7 +201,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
     if second is not None:
         bad = overlaps(docs, benchmark, coverage).filter("contaminated").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("kid"), "th").distinct()
         whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid"), F.xxhash64(name).alias("th"), F.struct(*docs.columns).alias("doc"))
-        return whole.join(bad, ["kid", "th"], "left_anti").select("doc.*")
+        return whole.withColumn("kid", apart("kid")).join(bad.select(apart("kid"), "th"), ["kid", "th"], "left_anti").select("doc.*")
     shared = docs.sparkSession.sparkContext.broadcast(first)  # of bounded size
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -134,7 +134,8 @@ def marked(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     stays = (F.col("kid") == F.col("first.kid")) & (F.col("th") == F.col("first.th")) & (F.col("line") == F.col("first.line"))
     gone = lines.join(common, ["t1", "t2"]).filter(~stays).groupBy("kid", "th").agg(F.collect_set("line").alias("gone"))
     whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid"), F.xxhash64("text").alias("th"), F.struct(*docs.columns).alias("doc"))
-    return whole.join(gone, ["kid", "th"], "left").select("doc", F.col("doc.text").cast("binary").alias("text"), "gone")
+    # rows that agree in kid and th can be many: shuffled for this join alone too
+    return whole.withColumn("kid", apart("kid")).join(gone.select(apart("kid"), "th", "gone"), ["kid", "th"], "left").select("doc", F.col("doc.text").cast("binary").alias("text"), "gone")
 
 
 def _clean(text: bytes | None, gone: list[int] | None) -> bytes | None:

@@ -155,8 +155,8 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD, size: int = 3, count:
     nodes = rows.groupBy(F.col("f0").alias("fp")).agg(F.min(F.struct("kid", "th")).alias("k"))
     best = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("k").alias("k")).select("k.kid", "k.th").distinct()
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid"), F.xxhash64("text").alias("th"))
-    one = Window.partitionBy("kid", "th").orderBy(F.lit(1))
-    return whole.join(best, ["kid", "th"], "left_semi").withColumn("place", F.row_number().over(one)).filter("place = 1").select("doc.*")
+    one = Window.partitionBy("kid", "th").orderBy(F.lit(1))  # first, as each task then sends one of its repeated rows
+    return whole.withColumn("place", F.row_number().over(one)).filter("place = 1").join(best, ["kid", "th"], "left_semi").select("doc.*")
 
 
 def op10_simhash_neardup(spark, sf_dir: str) -> DataFrame:

@@ -64,3 +64,12 @@ def test_hot_root(spark, hot):
     """A star: after one round every value of a component leads to its root."""
     roots = {r["fp"]: r["root"] for r in simhash.components(spark.createDataFrame([(0, i) for i in range(1, 5000)] + [(i, i + 1) for i in range(1, 5000, 7)], "x long, y long").repartition(8)).collect()}
     assert set(roots.values()) == {0} and {*range(1, 5001)} - {0} <= {*roots, 5000}
+
+
+def test_repeated_rows(spark, hot):
+    """Four thousand rows that agree in doc_id and text."""
+    docs = spark.createDataFrame([(7, "All rights reserved by us\nbody", str(random.random())) for _ in range(4000)] + [(k, f"All rights reserved by us\nown text {'abcdefghijkl'[k - 8] * 3} {k}", "") for k in range(8, 20)], "doc_id long, text string, more string").repartition(8)
+    rows, split = ran(line_dedup.drop_recurring(docs))
+    assert split >= 1 and len(rows) == 4012 and {r["text"] for r in rows if r["doc_id"] == 7} == {"All rights reserved by us\nbody"}
+    assert sorted(r["doc_id"] for r in rows if "rights" not in r["text"]) == list(range(8, 20))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == list(range(7, 20))

@@ -43,6 +43,7 @@ LEAST = 8
 #: Rules of longer expansions aren't held expanded.
 SHORT = 64
 _SAFE, _GAP = re.compile(r"(?= \S)"), re.compile(r"\s\s")
+_RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 
 #: Bytes as the library's byte-level vocabulary writes them: printable ones stay, the others follow from U+0100 on.
@@ -50,6 +51,9 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _WRITTEN = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
 
 
+_SPACED = _WRITTEN[32]
+
+
 class Encoder:
     """The tokenizers library behind a bounded memory of parts, which are cut where no match of its split can span.
 
@@ -71,6 +75,8 @@ class Encoder:
 
     def after_space(self, text: str) -> bytes:
         """The ids of the text with a space before it, or as it is if it begins a line."""
+        if text.isalpha() and text.isascii():  # most of them
+            return array("I", [t.id for t in self.model(_SPACED + text)]).tobytes()
         lead, text = ("\n", text[1:]) if text[0] == "\n" else (" ", text)
         word, mark = (text[:-1], text[-1]) if text[-1:] in ".,;:!?" else (text, "")
         if not word.isalpha():
@@ -81,10 +87,10 @@ class Encoder:
 
     def cut(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The texts in parts: each different part's ids, the parts' numbers in order, and how many parts each text has."""
-        plain = np.array([bool(t) and not (t[0].isspace() or t[-1].isspace() or _GAP.search(t)) for t in texts], bool)
+        plain = np.array([_plain(t) for t in texts], bool)
         split = pc.split_pattern(pc.replace_substring(pa.array([t for t, p in zip(texts, plain) if p], pa.large_string()), "\n", " \n"), " ")
         encoded = split.values.dictionary_encode()
-        words, at = self.after.all(encoded.dictionary.to_pylist()), encoded.indices.to_numpy().astype(np.int64)
+        words, at = self.after.all(encoded.dictionary.to_numpy(zero_copy_only=False).tolist()), encoded.indices.to_numpy().astype(np.int64)
         begin = split.offsets.to_numpy()
         counts = np.zeros(len(texts), np.int64)
         counts[plain] = np.diff(begin)
@@ -105,6 +111,15 @@ class Encoder:
         return words, at, counts
 
 
+def _plain(text: str | None) -> bool:
+    """Whether a text has no two spaces of any kind together, none at its ends, and something at all."""
+    if not text or text[0].isspace() or text[-1].isspace():
+        return False
+    if text.isascii() and not any(map(text.__contains__, _RARE)):  # spaces and newlines are its only white space
+        return not any(map(text.__contains__, ("  ", "\n\n", " \n", "\n ")))
+    return not _GAP.search(text)
+
+
 @dataclass
 class Grammar:
     """Symbols below first are ids; the others name rules, and expand to lengths[symbol - first] ids."""
@@ -157,6 +172,7 @@ def repair(ids: np.ndarray, starts: np.ndarray, first: int = FIRST, rounds: int
     seq, starts = ids.astype(np.int32), starts.astype(np.int64)
     weight = None if weights is None or (weights == 1).all() else np.repeat(weights.astype(np.int32), np.diff(np.append(starts, len(seq))))
     rules, lengths, done, none = ([before.rules], before.lengths.astype(np.int64), 0, np.iinfo(np.int32).max) if before else ([], np.zeros(0, np.int64), 0, np.iinfo(np.int32).max)
+    ranks = np.full(len(seq) + 2, none, np.int32)
     live = np.ones(len(seq), bool)  # where pairs begin that may have `least` places; without a new symbol a pair doesn't gain any
     while len(seq) > 1 and (rounds is None or done < rounds):
         done += 1
@@ -177,10 +193,14 @@ def repair(ids: np.ndarray, starts: np.ndarray, first: int = FIRST, rounds: int
             break
         rank = np.full(len(pair), none, np.int32)
         rank[best] = np.arange(len(best), dtype=np.int32)
-        ranks = np.full(len(seq) + 2, none, np.int32)
-        ranks[place + 1] = np.repeat(rank, many)
-        at = np.flatnonzero((ranks[1:-1] < ranks[:-2]) & (ranks[1:-1] < ranks[2:]))
+        mine = np.repeat(rank, many)
+        ranks[place + 1] = mine
+        if len(place) * 4 > len(seq):
+            at = np.flatnonzero((ranks[1 : len(seq) + 1] < ranks[: len(seq)]) & (ranks[1 : len(seq) + 1] < ranks[2 : len(seq) + 2]))
+        else:  # few pairs: only their own places are looked at
+            at = np.sort(place[(mine < ranks[place]) & (mine < ranks[place + 2])])
         rank = ranks[at + 1]
+        ranks[place + 1] = none
         used = np.bincount(rank, None if weight is None else weight[at], len(best)) >= least
         at, rank = at[used[rank]], rank[used[rank]]
         new = np.stack((pair[best[used]] >> 32, pair[best[used]] & 0xFFFFFFFF), 1)
@@ -341,7 +361,10 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end: int = END) -> D
             name = f"{folder}/ids-{task.partitionId():07d}-{piece:05d}.tsra"
             with store.open_output_stream(f"{name}.{task.taskAttemptId()}") as f:
                 f.write(to_bytes(g, np.array(keys, np.int64), sizes + 1, end))
-            store.move(f"{name}.{task.taskAttemptId()}", name)
+            if store.get_file_info(name).type == pa.fs.FileType.NotFound:
+                store.move(f"{name}.{task.taskAttemptId()}", name)
+            else:  # left by an earlier run of this task, with the same content
+                store.delete_file(f"{name}.{task.taskAttemptId()}")
             row = pa.record_batch([pa.array([x]) for x in (task.partitionId(), piece, name, len(keys), int(sizes.sum()) + len(keys))], ["part", "piece", "path", "n_docs", "n_ids"])
             texts, keys, total, piece = [], [], 0, piece + 1
             return row

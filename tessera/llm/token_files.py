@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import uuid
 import zlib
 from array import array
@@ -51,13 +52,24 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _WRITTEN = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
 
 
-_SPACED = _WRITTEN[32]
+_SPACED, _MARKS = _WRITTEN[32], string.punctuation
+
+
+class _Letters(dict):
+    """A translation of code points to what their bytes are written as."""
+
+    def __missing__(self, point: int) -> str:
+        self[point] = "".join(map(_WRITTEN.__getitem__, chr(point).encode()))
+        return self[point]
+
+
+_LETTERS = _Letters()
 
 
 class Encoder:
     """The tokenizers library behind a bounded memory of parts, which are cut where no match of its split can span.
 
-    A part that is one match of the split, or one and a mark, goes to the library's model directly; others go through
+    A part that is one match of the split, or one and marks, goes to the library's model directly; others go through
     the whole library.
     """
 
@@ -68,22 +80,24 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.model = self.library.model.tokenize
-        self.parts, self.after = Memory(self.part), Memory(self.after_space)
+        self.parts, self.after, self.marks = Memory(self.part), Memory(self.after_space, 1_200_000), Memory(self.mark, 20_000, 16)
 
     def part(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def after_space(self, text: str) -> bytes:
         """The ids of the text with a space before it, or as it is if it begins a line."""
-        if text.isalpha() and text.isascii():  # most of them
-            return array("I", [t.id for t in self.model(_SPACED + text)]).tobytes()
         lead, text = ("\n", text[1:]) if text[0] == "\n" else (" ", text)
-        word, mark = (text[:-1], text[-1]) if text[-1:] in ".,;:!?" else (text, "")
+        word = text.rstrip(_MARKS)
         if not word.isalpha():
             return self.part(lead + text)
-        word = word if word.isascii() else word.encode().decode("latin1").translate(_WRITTEN)
-        matches = (_WRITTEN[32] + word,) if lead == " " else (_WRITTEN[10], word)
-        return array("I", [t.id for match in (*matches, mark)[: len(matches) + len(mark)] for t in self.model(match)]).tobytes()
+        mark = text[len(word) :]  # one match, as it holds no letter, digit or space
+        written = word if word.isascii() else word.translate(_LETTERS)
+        ids = [t.id for t in self.model(_SPACED + written)] if lead == " " else self.marks["\n"] + [t.id for t in self.model(written)]
+        return array("I", ids + self.marks[mark] if mark else ids).tobytes()
+
+    def mark(self, text: str) -> list[int]:
+        return [t.id for t in self.model("".join(map(_WRITTEN.__getitem__, text.encode())))]
 
     def cut(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The texts in parts: each different part's ids, the parts' numbers in order, and how many parts each text has."""

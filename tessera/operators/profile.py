@@ -90,3 +90,9 @@ def append_log(path: str, row: dict) -> None:
     """Adds a line of JSON to a benchmark log."""
     with open(path, "a") as out:
         out.write(json.dumps(row) + "\n")
+
+
+def read_log(path: str) -> list[dict]:
+    """The lines of a benchmark log."""
+    with open(path) as lines:
+        return [json.loads(line) for line in lines]

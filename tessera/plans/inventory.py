@@ -442,6 +442,51 @@ def _profile_partitions(spark, d):
     return profile.imbalance(catalog.scan(spark, d, "lineitem").repartitionById(8, F.pmod("l_partkey", F.lit(8)).cast("int")), 8)
 
 
+@_add("profile_event_log", """WITH t AS (SELECT o_orderkey % 5 AS stage, 1 + o_orderkey % 97 AS run, (1 + o_orderkey % 97) * (o_orderkey % 4) * 250000 AS cpu FROM orders)
+  SELECT stage, count(*) AS tasks, round(sum(run) / 1000, 6) AS run_s, round(max(run) / 1000, 6) AS largest_s, round(max(run) * count(*) / sum(run), 6) AS imbalance, round(least(sum(cpu) / 1e6 / sum(run), 1), 6) AS busy FROM t GROUP BY ALL""")
+def _event_log(spark, d):
+    """Balance and idle share of the stages in an event log: one task for each order, with times made of its key."""
+    run = c("o_orderkey") % 97 + 1
+    metrics = F.struct(run.alias("Executor Run Time"), (run * (c("o_orderkey") % 4) * 250_000).alias("Executor CPU Time"))
+    path = _folder(spark, "event-log")
+    catalog.scan(spark, d, "orders").select(F.to_json(F.struct(F.lit("SparkListenerTaskEnd").alias("Event"), (c("o_orderkey") % 5).alias("Stage ID"), metrics.alias("Task Metrics")))).write.text(path)
+    return profile.stage_balance(spark, path).withColumns({k: F.round(k, 6) for k in ("run_s", "largest_s", "imbalance", "busy")})
+
+
+_PLAN = "Project Filter LogicalRelation".split()
+
+
+def _named(spark, d):
+    return catalog.scan(spark, d, "nation").filter("n_nationkey > 3").select("n_name")
+
+
+@_add("plan_json", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}')" for k, n in enumerate(_PLAN)) + ") AS t(place, node)")
+def _plan_json(spark, d):
+    nodes = [(k, n["class"].rpartition(".")[2]) for k, n in enumerate(profile.plan_json(_named(spark, d)))]
+    return spark.createDataFrame(nodes, "place int, node string")
+
+
+@_add("plan_dot", "SELECT * FROM (VALUES ('digraph plan {'), ('rankdir=BT;'), " + ", ".join(f"""('n{k} [label="{n}"];')""" for k, n in enumerate(_PLAN)) + ", ('n1 -> n0;'), ('n2 -> n1;'), ('}')) AS t(line)")
+def _plan_dot(spark, d):
+    return spark.createDataFrame([(x.strip(),) for x in profile.plan_dot(_named(spark, d)).splitlines()], "line string")
+
+
+@_add("profile_report", "SELECT * FROM (VALUES ('| query | plain | split |'), ('|---|---|---|'), ('| a | 2.00 (1.00) | 1.00 (0.50) |'), ('| b |  | 3.00 |')) AS t(line)")
+def _report(spark, d):
+    return spark.createDataFrame([(x,) for x in profile.report({"a": {"plain": 2.0, "split": 1.0}, "b": {"split": 3.0}}).splitlines()], "line string")
+
+
+@_add("log_table", "SELECT 'scan' AS query, count(*) AS n_rows FROM region UNION ALL SELECT 'twice', 2 * count(*) FROM region")
+def _log(spark, d):
+    """A benchmark log, a file of the driver: rows are appended, then read."""
+    n = catalog.scan(spark, d, "region").count()
+    with tempfile.TemporaryDirectory() as folder:
+        for row in ({"query": "scan", "n_rows": n}, {"query": "twice", "n_rows": 2 * n}):
+            profile.append_log(f"{folder}/log", row)
+        rows = [(r["query"], r["n_rows"]) for r in profile.read_log(f"{folder}/log")]
+    return spark.createDataFrame(rows, "query string, n_rows long")
+
+
 # extensions beyond the inventory: what the benchmark's texts say about order
 
 

@@ -35,6 +35,8 @@ from .common import Memory, arrow_map, once
 
 #: Bytes of a match that are encoded without halving; bytes of a window that are merged without a heap; parts that one node of the tree joins.
 LEAF, SMALL, FAN = 6, 48, 64
+#: The rank of a pair that is no token.
+NEVER = 1 << 62
 #: A text cut before every space that a non-space follows: no match of the pattern spans such a place.
 _SAFE, _GAP = re.compile(r"(?= \S)"), re.compile(r"\s\s")
 
@@ -54,8 +56,8 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.parts, self.after = Memory(self.part), Memory(self.after_space)
-        self.leaf, self.held = Memory(self.merge, 200_000, 256), lru_cache(1 << 18)(self._held)
+        self.parts, self.after = Memory(self.part, 200_000), Memory(self.after_space)
+        self.leaf, self.held = Memory(self.merge, 100_000, 256), lru_cache(1 << 16)(self._held)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a short piece: the adjacent pair of least rank is merged, leftmost first, until none is in the ranks."""
@@ -63,13 +65,16 @@ class Codec:
             return [self.ranks[piece]]
         if len(piece) > SMALL:
             return self.merge_long(piece)
-        units = [piece[i : i + 1] for i in range(len(piece))]
-        while len(units) > 1:
-            best = min(((r, i) for i in range(len(units) - 1) if (r := self.ranks.get(units[i] + units[i + 1])) is not None), default=None)
-            if best is None:
-                break
-            units[best[1] : best[1] + 2] = [units[best[1]] + units[best[1] + 1]]
-        return [self.ranks[u] for u in units]
+        get, at = self.ranks.get, list(range(len(piece) + 1))  # at: where units begin
+        pairs = [get(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
+        while pairs and (least := min(pairs)) != NEVER:
+            i = pairs.index(least)
+            del at[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(piece[at[i] : at[i + 2]], NEVER)
+            if i:
+                pairs[i - 1] = get(piece[at[i - 1] : at[i + 1]], NEVER)
+        return [self.ranks[piece[a:b]] for a, b in zip(at, at[1:])]
 
     def _held(self, a: int, b: int) -> bool:
         return self.leaf[self.bytes_of[a] + self.bytes_of[b]] == [a, b]

@@ -10,7 +10,7 @@ in the first half if it differs there in at most one bit, else in the second.
 Equal fingerprints are one class before anything is compared, so copies cost nothing; links are kept between classes, and
 no link between different texts is lost. Hot anchors, and the root of a large component, are split by AQE's skew join: both
 sides of these joins are shuffled for them alone. Components come from alternating large-star and small-star contraction,
-whose every round is cut by a checkpoint.
+whose every round is cut by a checkpoint, or from one task where there are few links.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and is linked like any other; with
 fewer than 3 words the whole sequence is the one shingle; repeated rows are classes' members like all others; a null
@@ -19,6 +19,7 @@ doc_id is carried as null and never names a component that has another; other co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -32,6 +33,8 @@ from .common import NULL_ID, apart, arrow_map, cut, keyed, mix, signed
 THRESHOLD, GOLDEN = 3, 0x9E3779B97F4A7C15
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LOW31 = (1 << 31) - 1
+#: Edges up to which components are found by one task, in some 100 bytes an edge besides the edges.
+ONE_TASK = 1_000_000
 #: Row k: the positions 1 to 31 whose number has bit k; the syndrome's bit k is the parity over them.
 _CHECKS = [sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1) for k in range(5)]
 
@@ -95,9 +98,39 @@ def linked(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return homes.join(guests, ["side", "anchor"]).filter((F.col("x") < F.col("y")) & (F.bit_count(apart) <= threshold) & ((F.col("side") == 0) == first)).select("x", "y")
 
 
+def least_reached(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges x, y: the values that reach a lesser one, and the least that each reaches. Roots hook to lesser roots, and paths are halved to their ends."""
+    values, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+    a, b, root = at[: len(x)], at[len(x) :], np.arange(len(values))
+    while len(a):
+        a, b = root[a], root[b]
+        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        np.minimum.at(root, b, a)
+        while (root != (up := root[root])).any():
+            root = up
+    lesser = root != np.arange(len(values))
+    return values[lesser], values[root[lesser]]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            x.append(batch.column("x").to_numpy())
+            y.append(batch.column("y").to_numpy())
+        fp, root = least_reached(np.concatenate(x), np.concatenate(y))
+        for k in range(0, len(fp), 10_000):
+            yield pa.record_batch([pa.array(fp[k : k + 10_000]), pa.array(root[k : k + 10_000])], ["fp", "root"])
+
+    return cut(edges.coalesce(1).mapInArrow(run, "fp long, root long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Of edges x, y: each value with the least value that it reaches, as fp, root. Alternating star contraction."""
-    edges, before = edges.select("x", "y"), None
+    """Of edges x, y: each value that reaches a lesser one with the least that it reaches, as fp, root. Alternating star contraction; ONE_TASK edges
+    or fewer go to one task instead, as every stage of a round costs the driver some MB that stay until its garbage is collected."""
+    edges, before = edges.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")), None
+    if edges.count() <= ONE_TASK:
+        return _in_one_task(edges)
     while True:
         both = edges.union(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))

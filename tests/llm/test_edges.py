@@ -269,6 +269,32 @@ def test_components(spark):
     assert {roots.get(i, i) for i in range(41)} == {0} and {roots.get(i, i) for i in (100, 150, 200, 300)} == {100}
 
 
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Every stage costs the driver memory until its garbage is collected."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "x long, y long")
+    spark.sparkContext.setJobGroup("few edges", "components")
+    try:
+        assert {r["root"] for r in simhash.components(edges).collect()} == {0}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")) <= 5
+
+
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = [(int(x), int(y)) for x, y in rng.integers(-(1 << 62), 1 << 62, 300)[rng.integers(0, 300, (220, 2))]] + [(5, 5), (9, 8), (8, 9)]
+    edges = spark.createDataFrame(pairs, "x long, y long").repartition(4)
+    least = {v: v for p in pairs for v in p}
+    while any(least[x] != least[y] for x, y in pairs):
+        for x, y in pairs:
+            least[x] = least[y] = min(least[x], least[y])
+    expected = {(v, r) for v, r in least.items() if v != r}
+    assert {tuple(r) for r in simhash.components(edges).collect()} == expected
+    monkeypatch.setattr(simhash, "ONE_TASK", -1)
+    assert {tuple(r) for r in simhash.components(edges).collect() if r["fp"] != r["root"]} == expected
+    assert simhash.components(edges.limit(0)).count() == 0
+
+
 def test_lines(odd, none):
     rows = inputs(odd)
     expected = [(i, t) for (i, _), t in zip(rows, without_lines(rows, 4))]

@@ -85,6 +85,11 @@ def apart(key: str) -> Column:
     return F.col(key).bitwiseXOR(F.lit(1).cast("long")).alias(key)
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join of two that grow with the corpus: both are shuffled and sorted, so that neither goes through the driver, whatever size Spark takes it for."""
+    return side.hint("merge")
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """XXH64 of every word."""
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, apart, arrow_map, cut, keyed, mix, signed
+from .common import NULL_ID, apart, arrow_map, cut, keyed, mix, shuffled, signed
 
 THRESHOLD, GOLDEN = 3, 0x9E3779B97F4A7C15
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -95,7 +95,8 @@ def linked(classes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     guests = parts.select(F.col("fp").alias("y"), "side", "part", F.explode(patterns[F.col("s").cast("int")]).alias("e")).select("y", "side", F.col("part").bitwiseXOR(F.col("e")).alias("anchor"))
     apart = F.col("x").bitwiseXOR(F.col("y"))
     first = F.bit_count(apart.bitwiseAND(F.lit(_LOW31))) <= 1
-    return homes.join(guests, ["side", "anchor"]).filter((F.col("x") < F.col("y")) & (F.bit_count(apart) <= threshold) & ((F.col("side") == 0) == first)).select("x", "y")
+    # Spark takes an exploded side for no larger than what it was made from, and would send the guests whole through the driver
+    return shuffled(homes).join(guests, ["side", "anchor"]).filter((F.col("x") < F.col("y")) & (F.bit_count(apart) <= threshold) & ((F.col("side") == 0) == first)).select("x", "y")
 
 
 def least_reached(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,15 +182,15 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD, size: int = 3, count:
     for f in names[1:]:
         same = rows.select("f0", F.col(f).alias("fp")).distinct()
         least = cut(same.groupBy("fp").agg(F.min("f0").alias("node")))  # cut, so that each join's sides are shuffled for it alone
-        stars = same.join(least, "fp").filter("f0 != node").select(F.col("node").alias("x"), F.col("f0").alias("y"))
-        pairs = linked(least.select("fp"), threshold).join(least.select(F.col("fp").alias("x"), F.col("node").alias("a")), "x").join(least.select(F.col("fp").alias("y"), F.col("node").alias("b")), "y").filter("a != b")
+        stars = shuffled(same).join(least, "fp").filter("f0 != node").select(F.col("node").alias("x"), F.col("f0").alias("y"))
+        pairs = linked(least.select("fp"), threshold).join(shuffled(least.select(F.col("fp").alias("x"), F.col("node").alias("a"))), "x").join(shuffled(least.select(F.col("fp").alias("y"), F.col("node").alias("b"))), "y").filter("a != b")
         edges = edges.union(stars).union(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")))
     roots = components(cut(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()))
     nodes = rows.groupBy(F.col("f0").alias("fp")).agg(F.min(F.struct("kid", "th")).alias("k"))
-    best = nodes.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("k").alias("k")).select("k.kid", "k.th").distinct()
+    best = nodes.join(shuffled(roots), "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("k").alias("k")).select("k.kid", "k.th").distinct()
     whole = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("kid"), F.xxhash64("text").alias("th"))
     one = Window.partitionBy("kid", "th").orderBy(F.lit(1))  # first, as each task then sends one of its repeated rows
-    return whole.withColumn("place", F.row_number().over(one)).filter("place = 1").join(best, ["kid", "th"], "left_semi").select("doc.*")
+    return whole.withColumn("place", F.row_number().over(one)).filter("place = 1").join(shuffled(best), ["kid", "th"], "left_semi").select("doc.*")
 
 
 def op10_simhash_neardup(spark, sf_dir: str) -> DataFrame:

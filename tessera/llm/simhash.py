@@ -157,12 +157,12 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     classes = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     pairs = cut(linked(classes.select("fp"), threshold))
     both = pairs.union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    around = both.select("x", apart("y")).join(classes.select(F.col("fp").alias("y"), "n").select(apart("y"), "n"), "y").groupBy("x").agg(F.sum("n").alias("others")).withColumnRenamed("x", "fp")
+    around = shuffled(both.select("x", apart("y"))).join(classes.select(F.col("fp").alias("y"), "n").select(apart("y"), "n"), "y").groupBy("x").agg(F.sum("n").alias("others")).withColumnRenamed("x", "fp")
     roots = components(pairs)
-    named = classes.join(around, "fp", "left").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = classes.join(shuffled(around), "fp", "left").join(shuffled(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = named.withColumn("root", apart("root")).join(firsts.select(apart("root"), "component_id"), "root").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id")
-    return rows.select("doc_id", "kid", "th", apart("fp")).join(found.select(apart("fp"), "n_near", "component_id"), "fp").select("doc_id", "kid", "th", apart("fp"), "n_near", "component_id")
+    found = shuffled(named.withColumn("root", apart("root"))).join(firsts.select(apart("root"), "component_id"), "root").select("fp", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), "component_id")
+    return shuffled(rows.select("doc_id", "kid", "th", apart("fp"))).join(found.select(apart("fp"), "n_near", "component_id"), "fp").select("doc_id", "kid", "th", apart("fp"), "n_near", "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, size: int = 3, count: int = 1) -> DataFrame:

@@ -113,8 +113,10 @@ def _catalog(spark, d):
 def _bucketed(spark, d):
     """Two tables bucketed by the key that joins them: neither the join nor the grouping shuffles."""
     name = uuid.uuid4().hex
-    orders = catalog.write_bucketed(catalog.scan(spark, d, "orders").select("o_orderkey"), f"orders_{name}", ["o_orderkey"], 8, _folder(spark, "bucketed"))
-    line = catalog.write_bucketed(catalog.scan(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), f"lineitem_{name}", ["l_orderkey"], 8, _folder(spark, "bucketed"))
+    orders, line = catalog.scan(spark, d, "orders").select("o_orderkey"), catalog.scan(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    buckets = catalog.buckets_for(orders, line)
+    orders = catalog.write_bucketed(orders, f"orders_{name}", ["o_orderkey"], buckets, _folder(spark, "bucketed"))
+    line = catalog.write_bucketed(line, f"lineitem_{name}", ["l_orderkey"], buckets, _folder(spark, "bucketed"))
     return Rel(orders).join(Rel(line), [("l_orderkey", "o_orderkey")]).aggregate(["o_orderkey"], [("count", None, "n"), ("sum", "l_linenumber", "s")]).result()
 
 

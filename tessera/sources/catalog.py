@@ -142,9 +142,20 @@ def write_result(df: DataFrame, path: str, kind: str = "parquet") -> None:
     (out.option("header", True).csv if kind == "csv" else getattr(out, kind))(path)
 
 
+#: Rows of one bucket, about: a task takes a whole bucket.
+BUCKET_ROWS = 1_000_000
+
+
+def buckets_for(*tables: DataFrame) -> int:
+    """Buckets for tables that are joined by them, 8 at least: as many as leave BUCKET_ROWS rows of the largest table in each, so that no task's part grows with the tables. Rows of Parquet files are counted by their footers."""
+    return max(8, *(-(-t.count() // BUCKET_ROWS) for t in tables))
+
+
 def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, path: str | None = None) -> DataFrame:
-    """A table bucketed and sorted by a join key: joins and aggregates on it need no shuffle. path: its folder, instead of the warehouse's."""
-    out = df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    """A table bucketed and sorted by a join key: joins and aggregates on it need no shuffle. path: its folder, instead of the warehouse's.
+
+    Rows are shuffled to their buckets first, so that each is one file; else there would be as many files of each as tasks that write."""
+    out = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
     (out.option("path", path) if path else out).saveAsTable(name)
     return df.sparkSession.table(name)
 
